@@ -256,3 +256,16 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     about = classes.select("key", "copies", "doc_id").join(linked, "key", "left").join(named, "key", "left").select("key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"), F.coalesce("component", "doc_id").alias("component_id"))
     special = stored(about.filter("n_similar > 0"), "linked")
     return rows.select("doc_id", "n", "key").join(special, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """The row of the least doc_id of every component; all columns stay. Rows with a null doc_id are kept.
+
+    Of rows that repeat both doc_id and text one is kept.
+    """
+    found = stored(jaccard_join(docs).filter("n_similar > 0 AND doc_id IS NOT NULL"), "similar")
+    kept = docs.join(found.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    again = stored(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if not again.isEmpty():
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.select(*docs.columns)
