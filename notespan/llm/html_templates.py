@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -123,8 +124,8 @@ class Page:
         return _SPACE.sub(" ", "".join(self.raw[number])).strip()
 
 
-def template(pages: list[Page]) -> list[str]:
-    """The template's tokens in order: valid equivalence classes, nested into one another."""
+def template(pages: list[Page]) -> list[tuple[str, int]]:
+    """The template's tokens, each with the number of its occurrence on a page: valid classes, nested into one another."""
     if len(pages) < 2:
         return []
     counts = [Counter(p.tokens) for p in pages]
@@ -147,13 +148,20 @@ def template(pages: list[Page]) -> list[str]:
     taken.sort(key=lambda t: where[0][t][0])
     for w in where[1:]:
         taken = _ordered(taken, [w[t][0] for t in taken])
-    return taken
+    # Tokens that occur oftener, equally on all pages, have a role for each gap of the template that they are found in.
+    edges = [[w[t][0] for t in taken] for w in where]
+    out = [(t, 0) for t in taken]
+    for vector, tokens in classes.items():
+        if len(set(vector)) == 1 and vector[0] > 1 and taken:
+            for t in tokens:
+                for j in range(vector[0]):
+                    if len({bisect_left(e, w[t][j]) for e, w in zip(edges, where)}) == 1:
+                        out.append((t, j))
+    return out
 
 
 def _ordered(tokens: list[str], at: list[int]) -> list[str]:
     """The longest part of ``tokens`` whose places increase."""
-    from bisect import bisect_left
-
     tops: list[int] = []
     ends: list[int] = []
     back: list[int] = []
@@ -172,7 +180,7 @@ def _ordered(tokens: list[str], at: list[int]) -> list[str]:
 def extract(pages: list[Page]) -> list[str]:
     """Main texts of a block's pages."""
     own = set(template(pages))
-    framed = any(t.startswith(("<article ", "<main ")) for t in own)
+    framed = any(t.startswith(("<article ", "<main ")) for t, _ in own)
     out = []
     for p in pages:
         blocks = [n for n in sorted(p.raw) if not p.out[n]]
@@ -180,9 +188,11 @@ def extract(pages: list[Page]) -> list[str]:
             kept = [n for n in blocks if p.inner[n]]
         else:
             free: Counter = Counter()
+            seen: Counter = Counter()
             for t, n in zip(p.tokens, p.block):
-                if n >= 0 and t not in own:
+                if n >= 0 and (t, seen[t]) not in own:
                     free[n] += 1
+                seen[t] += 1
             kept = [n for n in blocks if free[n]] if own else blocks
         out.append("\n\n".join(t for t in (p.text(n) for n in kept) if t))
     return out

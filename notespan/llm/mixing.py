@@ -67,6 +67,7 @@ def route(supply: dict[tuple, int], quota: dict[str | None, int], most: int = MO
     """
     flow: dict[tuple, dict] = {p: defaultdict(int) for p in supply}
     need = dict(quota)
+    queue_open = object()  # None is a source
     takers: dict = defaultdict(set)
     for p in supply:
         for s in p:
@@ -76,8 +77,8 @@ def route(supply: dict[tuple, int], quota: dict[str | None, int], most: int = MO
         for p in sorted(spare, key=repr):
             while spare[p] > 0:  # breadth first from the pattern to an unfilled source
                 came: dict = {p: None}
-                queue, end = deque([p]), None
-                while queue and end is None:
+                queue, end = deque([p]), queue_open
+                while queue and end is queue_open:
                     q = queue.popleft()
                     for s in q:
                         if ("s", s) in came:
@@ -90,13 +91,13 @@ def route(supply: dict[tuple, int], quota: dict[str | None, int], most: int = MO
                             if r not in came and flow[r][s] > 0:
                                 came[r] = s
                                 queue.append(r)
-                if end is None:
+                if end is queue_open:
                     break
                 path, s = [], end
                 while True:
                     q = came["s", s]
                     path.append((q, s))
-                    if came[q] is None:
+                    if q == p:
                         break
                     s = came[q]
                     path.append((q, s, "back"))
@@ -144,13 +145,14 @@ def repeated(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
     Rows that repeat doc_id and text share their copies evenly, rounded up.
     """
-    mark, own = "_mix_h", F.xxhash64(F.coalesce("text", F.lit("")))
-    taken = mix(docs.select("doc_id", "source", "text", own.alias(mark)), F.array(F.col("source").cast("string")), seed, (mark,))
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    taken = mix(docs.select("doc_id", "source", "text", own.alias("mark")), F.array(F.col("source").cast("string")), seed, ("mark",))
     times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5))
-    plan = taken.groupBy("doc_id", mark).agg(F.ceil(F.sum(times) / F.count("*")).cast("int").alias("_times")).filter("_times > 0")
-    plan = plan.select(F.col("doc_id").alias("_mix_id"), F.col(mark).alias("_mix_key"), "_times")
-    rows = docs.withColumn(mark, own).join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id")) & (F.col(mark) == F.col("_mix_key")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    plan = taken.groupBy("doc_id", "mark").agg(F.ceil(F.sum(times) / F.count("*")).cast("int").alias("times")).filter("times > 0")
+    plan = plan.select(F.col("doc_id").alias("id2"), F.col("mark").alias("mark2"), "times")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), own.alias("mark"), F.struct(*docs.columns).alias("whole"))
+    rows = rows.join(plan, F.col("id").eqNullSafe(F.col("id2")) & (F.col("mark") == F.col("mark2")))
+    return rows.select("whole", F.explode(F.sequence(F.lit(1), "times")).alias("copy")).select("whole.*")
 
 
 SQL = r"""

@@ -17,8 +17,8 @@ behind it, and only their occurrences are shuffled, never texts.
 
 Defined cases: a null text is empty and has no spans; repeated rows are rows;
 spans are half-open ranges of code points; a term that touches a base span is left
-out. Rows with a null doc_id are found like others. Other columns are kept by
-``sanitise``; columns that clash with those it adds are replaced.
+out. Rows with a null doc_id are found like others. ``sanitise`` keeps all other
+columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -255,13 +255,13 @@ def cleaned(text: str, all_spans: list[tuple[int, int, int, float]]) -> str:
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with sanitised texts; rows without spans, and all other columns, stay as they are."""
     touched = spans(docs).filter(F.size("all") > 0).groupBy("doc_id", "h").agg(F.first("all").alias("all"))
-    touched = stored(touched.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("all").alias("_spans")), "touched")
-    joined_ = docs.withColumn("_k", F.xxhash64(F.coalesce("text", F.lit("")))).join(touched, (F.col("_k") == F.col("_h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left")
+    touched = stored(touched.select(F.col("doc_id").alias("d"), F.col("h").alias("h2"), F.col("all").alias("marks")), "touched")
+    rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.col("text").alias("t"), F.struct(*docs.columns).alias("whole"))
+    rows = rows.join(touched, (F.col("h") == F.col("h2")) & F.col("k").eqNullSafe(F.col("d")), "left")
 
     @F.pandas_udf("string")
     def clean(text, marks):
         return text.__class__([cleaned(t, [(s["start"], s["kind"], s["end"], s["share"]) for s in m]) for t, m in zip(text, marks)])
 
-    hit = joined_.filter(F.col("_spans").isNotNull()).withColumn("text", clean("text", "_spans"))
-    rest = joined_.filter(F.col("_spans").isNull())
-    return hit.unionByName(rest).select(*docs.columns)
+    hit = rows.filter(F.col("marks").isNotNull()).select(F.col("whole").withField("text", clean("t", "marks")).alias("whole"))
+    return rows.filter(F.col("marks").isNull()).select("whole").unionByName(hit).select("whole.*")
