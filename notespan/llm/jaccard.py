@@ -37,6 +37,7 @@ PERCENT = 90
 MATCHES = 4
 VERIFY_COST = 16.0
 MAX_SLOTS = 1 << 22
+SETS = 128
 
 
 def least_overlap(n: int) -> int:
@@ -189,10 +190,50 @@ def similar_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = stored(pairs, "candidates")
     keys = pairs.select(F.col("key1").alias("key")).union(pairs.select(F.col("key2"))).distinct()
     sets = stored(sets_of(docs, classes.select("doc_id", "key").join(keys, "key", "left_semi")).select("key", "tokens"), "sets")
-    one, two = (sets.select(F.col("key").alias("key" + s), F.col("tokens").alias("t" + s)) for s in ("1", "2"))
-    both = F.size(F.array_intersect("t1", "t2"))
-    found = pairs.join(one, "key1").join(two, "key2").withColumn("o", both).filter(F.col("o") * 100 >= PERCENT * (F.size("t1") + F.size("t2") - F.col("o")))
-    return found.select(F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b"))
+    return verified(pairs, sets)
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (key1, key2) whose sets overlap enough, as (a, b).
+
+    Components of candidates are cut into blocks of about ``SETS`` sets, and pairs are
+    verified by pairs of blocks, so a set in many pairs is sent once a block, not once
+    a pair; a unit of work holds two blocks at most, whatever the component's size.
+    """
+    nodes = stored(components(pairs.toDF("a", "b")), "nodes")
+    sizes = nodes.groupBy("root").agg(F.count("*").alias("c"))
+    cell = F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / SETS))
+    nodes = stored(nodes.join(sizes, "root").select("node", "root", cell.alias("cell")), "cells")
+    one, two = (nodes.select(F.col("node").alias("key" + s), F.col("root").alias("root" + s), F.col("cell").alias("cell" + s)) for s in ("1", "2"))
+    unit = F.struct(F.col("root1").alias("root"), F.least("cell1", "cell2").alias("x"), F.greatest("cell1", "cell2").alias("y"))
+    work = stored(pairs.join(one, "key1").join(two, "key2").select(F.xxhash64(unit).alias("unit"), "key1", "key2"), "work")
+    need = work.select("unit", F.col("key1").alias("key")).union(work.select("unit", "key2")).distinct()
+    none = F.lit(None)
+    rows = need.join(sets, "key").select("unit", F.lit(0).alias("kind"), F.col("key").alias("key1"), none.cast("binary").alias("key2"), "tokens")
+    rows = rows.unionByName(work.select("unit", F.lit(1).alias("kind"), "key1", "key2", none.cast("array<long>").alias("tokens")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+        for batch in batches:
+            a, b = [], []
+            tokens = batch.column(4)
+            flat, off = tokens.values.to_numpy(zero_copy_only=False), tokens.offsets.to_numpy()
+            for i, (unit, kind, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
+                if unit != now:
+                    now, held = unit, {}
+                if kind == 0:
+                    held[x] = flat[off[i] : off[i + 1]].view(np.uint64)
+                    continue
+                s, t = held[x], held[y]
+                both = np.concatenate([s, t])
+                both.sort()
+                o = int((both[1:] == both[:-1]).sum())
+                if 100 * o >= PERCENT * (len(s) + len(t) - o):
+                    a.append(min(x, y))
+                    b.append(max(x, y))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return rows.repartition("unit").sortWithinPartitions("unit", "kind").mapInArrow(run, "a binary, b binary")
 
 
 def components(edges: DataFrame, local: int = 200_000) -> DataFrame:
