@@ -21,7 +21,7 @@ def event_id(base: str) -> Column:
 
 def read_texts(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """SRC1, SRC20: event_id, text of every file below ``path``."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
     return files.select(event_id(path).alias("event_id"), F.col("value").alias("text"))
 
 
@@ -93,7 +93,7 @@ def read_list(spark: SparkSession, path: str, column: str, at: int = 1, least: i
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
     """Lines of one file with their number from 0. A file of a lexicon is read whole and cut in place."""
-    return spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
 
 
 def read_expansions(spark: SparkSession, path: str) -> DataFrame:
