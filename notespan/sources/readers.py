@@ -44,7 +44,7 @@ def from_text(spark: SparkSession, text: str, name: str = "stdin") -> DataFrame:
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
     """SRC19: row_id and text of quoted notes with line breaks in them."""
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    return rows.select(F.col(rows.columns[0]).cast("long").alias("row_id"), F.col(rows.columns[10]).alias("text"))
+    return rows.select(F.col(rows.columns[0]).try_cast("long").alias("row_id"), F.col(rows.columns[10]).alias("text"))
 
 
 # Terminologies: columns parted by |, without quoting
@@ -264,4 +264,4 @@ def read_gold_csv(spark: SparkSession, path: str) -> DataFrame:
     """SRC18: event_id, start, end, cui."""
     rows = spark.read.csv(path)
     c = rows.columns
-    return rows.select(F.col(c[6]).alias("event_id"), F.col(c[1]).cast("int").alias("start"), F.col(c[0]).cast("int").alias("end"), F.col(c[5]).alias("cui")).filter("start IS NOT NULL")
+    return rows.select(F.col(c[6]).alias("event_id"), F.col(c[1]).try_cast("int").alias("start"), F.col(c[0]).try_cast("int").alias("end"), F.col(c[5]).alias("cui")).filter("start IS NOT NULL")
