@@ -35,8 +35,11 @@ from .shingles import shingle_sets
 
 PERCENT = 90
 MATCHES = 4
-VERIFY_COST = 16.0
-MAX_SLOTS = 1 << 22
+#: A verification sends two whole sets, some hundred times the bytes of a posting entry.
+VERIFY_COST = 200.0
+MAX_SLOTS = 1 << 24
+#: Further documents expected to hold a token that isn't among the frequent ones.
+UNLISTED = 0.1
 SETS = 128
 
 
@@ -70,8 +73,12 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key binary, head array<long>")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, key, tokens) of the wanted documents (columns doc_id and key), hashed anew from their texts."""
+def _rehashed(docs: DataFrame, wanted: DataFrame, each, schema: str) -> DataFrame:
+    """``each(sets)`` for the texts of ``wanted`` (cid, doc_id, key): columns of ``schema`` after doc_id and key, then cid.
+
+    Texts are found by a Bloom filter and hashed anew; an exact join behind it drops
+    what else it let through, and other rows of the same doc_id or class.
+    """
     bloom = docs.sparkSession.sparkContext.broadcast(Bloom.of(wanted, "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,18 +89,30 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             sets = list(shingle_sets(b.column(1)))
-            key = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            offsets = np.zeros(len(sets) + 1, np.int32)
-            np.cumsum([len(x) for x in sets], out=offsets[1:])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], names=["doc_id", "key", "tokens"])
+            key = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key, pa.binary()), *each(sets)], names=["doc_id", "key", *(x.split()[0] for x in schema.split(", "))])
+
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, key binary, {schema}")
+    names = [x.split()[0] for x in schema.split(", ")]
+    w = wanted.select(F.col("key").alias("k"), F.col("doc_id").alias("d"), "cid")
+    kept = found.join(w, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("cid", *names)
+    return kept.dropDuplicates(["cid"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key binary, tokens array<long>")
-    return found.join(wanted.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.zeros(len(arrays) + 1, np.int32)
+    np.cumsum([len(x) for x in arrays], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)))
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cid, tokens) of the wanted classes."""
+    return _rehashed(docs, wanted, lambda sets: [_lists(sets)], "tokens array<long>")
 
 
 def rarity(classes: DataFrame) -> tuple[np.ndarray, int]:
     """Log2 of the posting length of frequent tokens by slot; the table's size is bounded."""
-    counts = classes.select(F.explode("head").alias("token")).groupBy("token").count().filter("count >= 4")
+    counts = classes.select(F.explode("head").alias("token")).groupBy("token").count().filter("count >= 2")
     counts = stored(counts.withColumn("level", F.least(F.lit(40), F.floor(F.log2("count"))).cast("int")).select("token", "level"), "frequent")
     by_level = {r.level: r.n for r in counts.groupBy("level").agg(F.count("*").alias("n")).collect()}
     least, held = 41, 0
@@ -102,7 +121,7 @@ def rarity(classes: DataFrame) -> tuple[np.ndarray, int]:
             break
         least, held = level, held + by_level[level]
     size = 1 << 12
-    while size < min(8 * held, MAX_SLOTS):
+    while size < min(4 * held, MAX_SLOTS):
         size *= 2
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,74 +146,69 @@ def _prefix(tokens: np.ndarray, n: int, levels: np.ndarray, mask: int) -> tuple[
 
 
 def _matches(level: np.ndarray, n: int) -> int:
-    """The number of matches to ask for: what costs least by the tokens' posting lengths."""
+    """The number of matches m to ask for: what costs least by the tokens' posting lengths.
+
+    One match brings every entry read as a candidate. Documents that share more than
+    one token mostly share a passage, all tokens of it at once, so m matches are
+    expected of as many documents as the m-th longest posting holds.
+    """
     base = n - least_overlap(n)
-    most = min(MATCHES, len(level) - base)
-    length = np.where(level > 0, np.exp2(np.minimum(level, 40).astype(np.float64)), 0.0)
-    read = np.cumsum(length)[base : base + most]
-    m = np.arange(1, most + 1)
-    return int(np.argmin(read + VERIFY_COST * read / (m * m))) + 1
+    length = np.where(level > 0, np.exp2(np.minimum(level, 40).astype(np.float64)), UNLISTED)
+    best, cost = 1, np.inf
+    for m in range(1, min(MATCHES, len(level) - base) + 1):
+        own = length[: base + m]
+        found = own.sum() if m == 1 else np.partition(own, len(own) - m)[len(own) - m]
+        if (c := own.sum() + VERIFY_COST * found) < cost:
+            best, cost = m, c
+    return best
+
+
+def _posted(tokens: np.ndarray, n: int, levels: np.ndarray, mask: int) -> tuple[np.ndarray, int, bool]:
+    """A class's prefix, the matches it asks for, and whether the known tokens suffice for both."""
+    t, level, sure = _prefix(tokens, n, levels, mask)
+    m = _matches(level, n)
+    return t[: n - least_overlap(n) + m], m, sure
 
 
 def postings(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(token, key, n, m) for every token of every class's prefix."""
+    """(token, cid, n, m) for every token of every class's prefix."""
     levels, mask = rarity(classes)
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
-    def run(whole: bool):
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            levels = shared.value
-            for b in batches:
-                keys, sizes, heads = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
-                token, row, m = [], [], []
-                flat, off = heads.values.to_numpy(zero_copy_only=False), heads.offsets.to_numpy()
-                for r, n in enumerate(sizes):
-                    t, level, sure = _prefix(flat[off[r] : off[r + 1]], n, levels, mask)
-                    if not (whole or sure) or not n:
-                        continue
-                    k = _matches(level, n)
-                    t = t[: n - least_overlap(n) + k]
-                    token.append(t)
-                    row.append(np.full(len(t), r))
-                    m.append(np.full(len(t), k, np.int32))
-                if not token:
-                    continue
-                rows = np.concatenate(row)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), pa.array(keys, pa.binary()).take(pa.array(rows)), pa.array(np.array(sizes)[rows]), pa.array(np.concatenate(m))], names=["token", "key", "n", "m"])
-
-        return each
-
-    def unsure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = shared.value
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            heads = b.column(3)
+            heads = b.column(2)
             flat, off = heads.values.to_numpy(zero_copy_only=False), heads.offsets.to_numpy()
-            keep = [not _prefix(flat[off[r] : off[r + 1]], n, levels, mask)[2] for r, n in enumerate(b.column(2).to_pylist())]
-            yield b.filter(pa.array(keep)).select([0, 1, 2])
+            done = [_posted(flat[off[r] : off[r + 1]], n, shared.value, mask) for r, n in enumerate(b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([m for _, m, _ in done], pa.int32()), pa.array([sure for *_, sure in done]), _lists([t if sure else t[:0] for t, _, sure in done])], names=["cid", "n", "m", "sure", "prefix"])
+
+    def whole(sets: list[np.ndarray]) -> list[pa.Array]:
+        done = [_posted(x.view(np.int64), len(x), shared.value, mask) if len(x) else (x, 1, True) for x in sets]
+        return [pa.array([len(x) for x in sets], pa.int32()), pa.array([m for _, m, _ in done], pa.int32()), _lists([t for t, *_ in done])]
 
-    schema = "token long, key binary, n long, m int"
-    rest = stored(classes.select("doc_id", "key", "n", "head").mapInArrow(unsure, "doc_id long, key binary, n long"), "unsure")
-    out = classes.select("key", "n", "head").mapInArrow(run(False), schema)
-    if not rest.isEmpty():  # frequent tokens fill their heads: order their whole sets
-        out = out.unionByName(sets_of(docs, rest).select("key", F.size("tokens").cast("long").alias("n"), F.col("tokens").alias("head")).mapInArrow(run(True), schema))
-    return out
+    own = stored(classes.select("cid", F.col("n").cast("int").alias("n"), "head").mapInArrow(known, "cid long, n int, m int, sure boolean, prefix array<long>"), "prefixes")
+    out = own.filter("sure").drop("sure")
+    unsure = stored(classes.select("cid", "doc_id", "key").join(own.filter("NOT sure").select("cid"), "cid", "left_semi"), "unsure")
+    if not unsure.isEmpty():  # frequent tokens fill their heads: order their whole sets
+        out = out.unionByName(stored(_rehashed(docs, unsure, whole, "n int, m int, prefix array<long>"), "reordered"))
+    return out.select(F.explode("prefix").alias("token"), "cid", "n", "m")
 
 
 def similar_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of keys of linked classes."""
-    p = stored(postings(classes, docs), "postings")
-    x, y = (p.select(F.col("token"), *[F.col(c).alias(c + s) for c in ("key", "n", "m")]) for s in ("1", "2"))
+    """Pairs (a, b), a < b, of ids of linked classes."""
+    p = postings(classes, docs)
+    x, y = (p.select(F.col("token"), *[F.col(c).alias(c + s) for c in ("cid", "n", "m")]) for s in ("1", "2"))
     near = F.col("n2") * 100 >= F.col("n1") * PERCENT
-    later = (F.col("n1") > F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("key1") < F.col("key2")))
-    pairs = x.join(y, "token").filter(near & later).groupBy("key1", "key2").agg(F.count("*").alias("c"), F.first(F.least("m1", "m2")).alias("m")).filter("c >= m").select("key1", "key2")
+    later = (F.col("n1") > F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("cid1") < F.col("cid2")))
+    pairs = x.join(y, "token").filter(near & later).groupBy("cid1", "cid2").agg(F.count("*").alias("c"), F.min(F.least("m1", "m2")).alias("m")).filter("c >= m").select("cid1", "cid2")
     pairs = stored(pairs, "candidates")
-    keys = pairs.select(F.col("key1").alias("key")).union(pairs.select(F.col("key2"))).distinct()
-    sets = stored(sets_of(docs, classes.select("doc_id", "key").join(keys, "key", "left_semi")).select("key", "tokens"), "sets")
+    ids = pairs.select(F.col("cid1").alias("cid")).union(pairs.select("cid2")).distinct()
+    sets = stored(sets_of(docs, classes.select("cid", "doc_id", "key").join(ids, "cid", "left_semi")), "sets")
     return verified(pairs, sets)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (key1, key2) whose sets overlap enough, as (a, b).
+    """The pairs (cid1, cid2) whose sets overlap enough, as (a, b).
 
     Components of candidates are cut into blocks of about ``SETS`` sets, and pairs are
     verified by pairs of blocks, so a set in many pairs is sent once a block, not once
@@ -204,13 +218,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     sizes = nodes.groupBy("root").agg(F.count("*").alias("c"))
     cell = F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / SETS))
     nodes = stored(nodes.join(sizes, "root").select("node", "root", cell.alias("cell")), "cells")
-    one, two = (nodes.select(F.col("node").alias("key" + s), F.col("root").alias("root" + s), F.col("cell").alias("cell" + s)) for s in ("1", "2"))
+    one, two = (nodes.select(F.col("node").alias("cid" + s), F.col("root").alias("root" + s), F.col("cell").alias("cell" + s)) for s in ("1", "2"))
     unit = F.struct(F.col("root1").alias("root"), F.least("cell1", "cell2").alias("x"), F.greatest("cell1", "cell2").alias("y"))
-    work = stored(pairs.join(one, "key1").join(two, "key2").select(F.xxhash64(unit).alias("unit"), "key1", "key2"), "work")
-    need = work.select("unit", F.col("key1").alias("key")).union(work.select("unit", "key2")).distinct()
+    work = stored(pairs.join(one, "cid1").join(two, "cid2").select(F.xxhash64(unit).alias("unit"), "cid1", "cid2"), "work")
+    need = work.select("unit", F.col("cid1").alias("cid")).union(work.select("unit", "cid2")).distinct()
     none = F.lit(None)
-    rows = need.join(sets, "key").select("unit", F.lit(0).alias("kind"), F.col("key").alias("key1"), none.cast("binary").alias("key2"), "tokens")
-    rows = rows.unionByName(work.select("unit", F.lit(1).alias("kind"), "key1", "key2", none.cast("array<long>").alias("tokens")))
+    rows = need.join(sets, "cid").select("unit", F.lit(0).alias("kind"), F.col("cid").alias("cid1"), none.cast("long").alias("cid2"), "tokens")
+    rows = rows.unionByName(work.select("unit", F.lit(1).alias("kind"), "cid1", "cid2", none.cast("array<long>").alias("tokens")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
@@ -231,9 +245,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 if 100 * o >= PERCENT * (len(s) + len(t) - o):
                     a.append(min(x, y))
                     b.append(max(x, y))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.repartition("unit").sortWithinPartitions("unit", "kind").mapInArrow(run, "a binary, b binary")
+    return rows.repartition("unit").sortWithinPartitions("unit", "kind").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, local: int = 200_000) -> DataFrame:
@@ -285,16 +299,16 @@ def _forest(edges: DataFrame) -> DataFrame:
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, n_shingles, n_similar, component_id."""
     rows = stored(signatures(docs), "signatures")
-    classes = stored(rows.filter("n > 0").groupBy("key", "n", "head").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "classes")
+    classes = rows.filter("n > 0").groupBy("key", "n", "head").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     links = stored(similar_classes(classes, docs), "links")
-    ends = links.union(links.select("b", "a")).toDF("key", "other")
-    weight = classes.select(F.col("key").alias("other"), "copies")
-    linked = ends.join(weight, "other").groupBy("key").agg(F.sum("copies").alias("others"))
-    roots = components(links)
-    named = roots.join(classes.select(F.col("key").alias("node"), "doc_id"), "node")
+    ends = links.union(links.select("b", "a")).toDF("cid", "other")
+    weight = classes.select(F.col("cid").alias("other"), "copies")
+    linked = ends.join(weight, "other").groupBy("cid").agg(F.sum("copies").alias("others"))
+    named = components(links).join(classes.select(F.col("cid").alias("node"), "doc_id"), "node")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component"))
-    named = named.select(F.col("node").alias("key"), "root").join(least, "root").select("key", "component")
-    about = classes.select("key", "copies", "doc_id").join(linked, "key", "left").join(named, "key", "left").select("key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"), F.coalesce("component", "doc_id").alias("component_id"))
+    named = named.select(F.col("node").alias("cid"), "root").join(least, "root").select("cid", "component")
+    about = classes.select("cid", "key", "copies", "doc_id").join(linked, "cid", "left").join(named, "cid", "left").select("key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"), F.coalesce("component", "doc_id").alias("component_id"))
     special = stored(about.filter("n_similar > 0"), "linked")
     return rows.select("doc_id", "n", "key").join(special, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
