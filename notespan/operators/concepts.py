@@ -30,9 +30,10 @@ def windows(sents: DataFrame, size: int = WINDOW) -> DataFrame:
     fit = lambda t: ~(is_stopword(t["norm"]) | is_punct_text(t["text"]) | is_trivial(t["tag"]))
     n = F.size("tokens")
     at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    one = sents.select("doc_id", "sent_id", "tokens", F.explode(F.filter(at, lambda i: fit(F.element_at("tokens", i)))).alias("i"))
-    more = F.filter(F.sequence(F.col("i"), F.least(F.col("i") + size - 1, n)), lambda j: fit(F.element_at("tokens", j)))
-    run = one.select("doc_id", "sent_id", "tokens", "i", F.explode(more).alias("j")).withColumn("words", F.slice("tokens", F.col("i"), F.col("j") - F.col("i") + 1))
+    begin = F.filter(at, lambda i: fit(F.element_at("tokens", i)))
+    last = lambda i: F.filter(F.sequence(i, F.least(i + size - 1, n)), lambda j: fit(F.element_at("tokens", j)))
+    runs = F.flatten(F.transform(begin, lambda i: F.transform(last(i), lambda j: F.slice(F.col("tokens"), i, j - i + 1))))
+    run = sents.select("doc_id", "sent_id", F.explode(runs).alias("words"))
     return run.select("doc_id", "sent_id", F.get("words", F.lit(0))["start"].alias("start"), F.element_at("words", -1)["end"].alias("end"), "words")
 
 

@@ -93,10 +93,12 @@ def modifications(sents: DataFrame, terms: DataFrame, cues: DataFrame, cue_scan:
     stops = lambda y: F.lower(y["text"]).isin(*SCOPE_WORDS) | (F.coalesce(y["tag"].isin(*SCOPE_TAGS), F.lit(False)) if tags else F.lit(False))
     stop = F.aggregate("near", F.struct(F.lit(0).alias("i"), F.lit(False).alias("done")), lambda a, y: F.struct(F.when(a["done"] | stops(y), a["i"]).otherwise(a["i"] + 1).alias("i"), (a["done"] | stops(y)).alias("done")))["i"]
     # Delimiters end the offsets at which a cue may begin; a cue may reach beyond one.
-    scan = scan.withColumn("stop", stop).filter("size(near) > 0")
+    most = cues.agg(F.max(F.size("words"))).first()[0] or 1
+    if cue_scan == "reference":  # no offset beyond the longest cue matters
+        scan = scan.withColumn("near", F.slice("near", 1, 2 * most))
+    scan = scan.withColumn("stop", stop).filter("size(near) > 0").withColumn("near", F.slice(F.col("near"), F.lit(1), F.col("stop") + most))
     words = F.transform("words", lambda w: w)
     keyed = cues.select("side", "kind", F.size("words").alias("n"), F.array_join(F.when(F.col("side") == "left", F.reverse(words)).otherwise(words), " ").alias("gram"))
-    most = cues.agg(F.max(F.size("words"))).first()[0] or 1
     offsets = scan.filter("stop > 0").select("*", F.explode(F.sequence(F.lit(0), F.least(F.col("stop"), F.size("near")) - 1)).alias("off"))
     least = F.col("off") + 1 if cue_scan == "reference" else F.lit(1)
     top = F.least(F.size("near") - F.col("off"), F.lit(most))

@@ -175,12 +175,17 @@ def ngrams(sents: DataFrame, most: int, form: Callable[[Column], Column] = lambd
     """
     size = F.size("tokens")
     at = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-    one = sents.select("doc_id", "sent_id", "tokens", F.transform("tokens", lambda t: form(t["text"])).alias("w"), F.explode(at).alias("tok_id"))
+    one = sents.select("doc_id", "sent_id", "tokens", F.transform("tokens", lambda t: form(t["text"])).alias("w"))
     if first is not None:
-        one = one.filter(first(F.get("w", F.col("tok_id"))))
-    grown = one.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.size("w") - F.col("tok_id")))).alias("n"))
-    last = F.get("tokens", F.col("tok_id") + F.col("n") - 1)
-    return grown.select("doc_id", "sent_id", "tok_id", "n", F.get("tokens", F.col("tok_id"))["start"].alias("start"), last["end"].alias("end"), F.array_join(F.slice("w", F.col("tok_id") + 1, F.col("n")), " ").alias("gram"))
+        at = F.filter(at, lambda i: first(F.get("w", i)))
+
+    def run(i: Column, n: Column) -> Column:
+        words = F.array_join(F.slice(F.col("w"), i + 1, n), " ")
+        return F.struct(i.alias("tok_id"), n.alias("n"), F.get("tokens", i)["start"].alias("start"), F.get("tokens", i + n - 1)["end"].alias("end"), words.alias("gram"))
+
+    # Runs are cut inside the row, so that exploded rows hold a run and not its whole sentence.
+    runs = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), size - i)), lambda n: run(i, n))))
+    return one.select("doc_id", "sent_id", F.explode(runs).alias("r")).select("doc_id", "sent_id", "r.*")
 
 
 def training_windows(seqs: DataFrame, column: str, length: int) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import acronyms, concepts, lexicon, negation, norms, rtf, sections, spans, tagging, tokens
-from ..sources import writers
+from ..sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,7 +36,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "text")
+    return readers.spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def values(rows: list[tuple]) -> str:

@@ -8,11 +8,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 # Files and tables
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it comes in fewer parts than half of them, such as one small file; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+
+
 def event_id(base: str) -> Column:
     """A file's path below ``base``."""
     plain = re.sub(r"^[a-z0-9]+:/*", "/", base).rstrip("/")
@@ -124,7 +129,9 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """SRC21: word, word_id from 1, vec; the header's count and width aren't rows."""
     p = F.split(F.rtrim("value"), " ")
     rows = spark.read.text(path).filter(F.size(p) > 2).select(F.get(p, F.lit(0)).alias("word"), F.slice(p, F.lit(2), F.size(p) - 1).cast("array<float>").alias("vec"))
-    return rows.withColumn("word_id", (F.row_number().over(Window.orderBy("word"))).cast("int"))
+    from ..operators.lexicon import dense_ids
+
+    return dense_ids(rows, "word", "word_id", 1)
 
 
 def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
