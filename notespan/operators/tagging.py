@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import suffixes
+from ..sources.storage import stored
 
 SUFFIX, RARE, BEAM, LEAST_TO_PRUNE = 5, 20, 2.0, 10
 
@@ -33,9 +34,8 @@ def states(tagged: DataFrame) -> DataFrame:
 
 def gram_counts(tagged: DataFrame) -> dict[str, DataFrame]:
     """TRN1: counts of states, pairs and triples; ends of sentences aren't counted (Q2)."""
-    st = states(tagged)
-    tri = st.groupBy("s1", "s2", "s3").agg(F.count("*").alias("c3"))
-    starts = st.select("doc_id", "sent_id").distinct().agg(F.count("*").alias("n"))
+    tri = stored(states(tagged).groupBy("s1", "s2", "s3").agg(F.count("*").alias("c3")), "triples")
+    starts = tri.filter("s1 = 'BBS-'").agg(F.coalesce(F.sum("c3"), F.lit(0)).alias("n"))  # one such triple a sentence
     bi = tri.groupBy("s2", "s3").agg(F.sum("c3").alias("c2")).unionByName(starts.select(F.lit("BBS-").alias("s2"), F.lit("BOS-").alias("s3"), F.col("n").alias("c2")))
     mark = starts.select(F.explode(F.array(F.lit("BBS-"), F.lit("BOS-"))).alias("s3"), F.col("n").alias("c1"))
     uni = tri.groupBy("s3").agg(F.sum("c3").alias("c1")).unionByName(mark)
@@ -87,7 +87,7 @@ def suffix_model(tagged: DataFrame, most: int = RARE, length: int = SUFFIX) -> D
     own length (Q9), and the result doesn't depend on the order of words.
     """
     rare = word_counts(tagged, most)
-    s = rare.select("cap", "tag", "c", F.explode(suffixes(F.col("word"), length)).alias("suffix")).groupBy("cap", "suffix", "tag").agg(F.sum("c").alias("c"))
+    s = stored(rare.select("cap", "tag", "c", F.explode(suffixes(F.col("word"), length)).alias("suffix")).groupBy("cap", "suffix", "tag").agg(F.sum("c").alias("c")), "suffixes")
     n = s.groupBy("cap", "suffix").agg(F.sum("c").alias("n"))
     tags = s.filter("suffix = ''").select("cap", "tag", "c")
     total = tags.groupBy("cap").agg(F.sum("c").alias("t"))
