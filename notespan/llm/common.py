@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,47 +9,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.readers import spread
+from ..sources.storage import stored
+
+__all__ = ["Bloom", "WORD", "arrow_map", "chunks_by_bytes", "partitions", "spread", "stored", "table", "text_bytes"]
+
 #: Words everywhere in this subpackage: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, removed when the driver's JVM ends.
-
-    Executors share that folder, so what is written there outlives any of them.
-    Only a local master may do without the setting; it then gets a folder of its own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="notespan-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/notespan-{uuid.uuid4().hex}"
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(jpath)
-    fs.deleteOnExit(jpath)
-    return path
-
-
-def stored(df: DataFrame, name: str = "part") -> DataFrame:
-    """``df`` written once to shared storage and read back: its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows one after another, and the rows' ends with a leading 0; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -117,11 +89,15 @@ class Bloom:
         return hit
 
     @classmethod
-    def of(cls, df: DataFrame, column: str, bits: int = 1 << 23) -> "Bloom":
-        """Built on the executors; only the bits, of fixed size, reach the driver.
+    def of(cls, df: DataFrame, column: str, most: int = 1 << 29) -> "Bloom":
+        """Built on the executors from a stored table, about 16 bits a key and ``most`` bits (64 MB) at most.
 
-        Partial filters are merged in two rounds, so the driver holds a few at a time.
+        Only the bits reach the driver, one partial filter after another. A filter at its
+        bound lets more through; the exact join behind it drops that.
         """
+        bits = 1 << 20
+        while bits < min(16 * df.count(), most):
+            bits *= 2
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, seen = cls(bits), False

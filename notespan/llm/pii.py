@@ -12,7 +12,7 @@ so copies of a document aren't evidence; df counts every document, which can onl
 lower a term's share.
 
 Scale. Contexts exist only around entities. Candidate terms, few after SUPPORT,
-are looked for in all texts by a Bloom filter of fixed size with an exact join
+are looked for in all texts by a Bloom filter of bounded size with an exact join
 behind it, and only their occurrences are shuffled, never texts.
 
 Defined cases: a null text is empty and has no spans; repeated rows are rows;
