@@ -22,10 +22,10 @@ def clean_notes(text: Column) -> Column:
     """PRE1: a clinical note for embedding training; de-identified names, phones and others become marks (Q29, Q30 kept)."""
     t = F.lower(text)
     for pattern, mark in (
-        (r"\[\*\*\s*(?:\d{1,4}[-/]\d\d?[-/]\d{1,4}|\d\d?[-/]\d\d?)\s*\*\*\]", "\u0001"),
-        (r"\[\*\*.*name.*\*\*\]", "NAME"),
-        (r"\[\*\*.*telephone.*\*\*\]", "###-###-###"),
-        (r"\[\*\*.*\*\*\]", "IDENTIFIER"),
+        (r"\[[*]{2}\s*\d{1,4}[-/]\d{1,2}(?:[-/]\d{1,4})?\s*[*]{2}\]", "\u0001"),
+        (r"\[[*]{2}.*name.*[*]{2}\]", "NAME"),
+        (r"\[[*]{2}.*telephone.*[*]{2}\]", "###-###-###"),
+        (r"\[[*]{2}.*[*]{2}\]", "IDENTIFIER"),
     ):
         t = F.regexp_replace(t, pattern, mark)
     return clean_marks(t)

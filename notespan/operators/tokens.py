@@ -21,9 +21,9 @@ Spans = Iterator[tuple[int, int]]
 
 _WORD = re.compile(r"[^ \t\n\r\f]+")
 _LINE = re.compile(r"[^\n]*")
-_DEID = re.compile(r"\[\*\*.*?\*\*\]|(?:(?!_)[\w.'])+")
+_DEID = re.compile(r"\[[*]{2}.*?[*]{2}\]|(?:['.]|[^\W_])+")
 _SEGMENT_END = re.compile(r"\n\n+|^[^\S\n]*(?:_{3,}|-{3,}|={3,})[^\S\n]*$", re.M)
-_EDGE = re.compile(r"[;.!):,\"']?(?:[^\S\x1c-\x1f\x85\xa0]+[(\"']?|\Z)", re.A)
+_EDGE = re.compile(r"""[!"'),.:;]?(?:[^\S\x1c-\x1f\x85\xa0]+["'(]?|\Z)""", re.A)
 
 
 def plain_words(text: str) -> Spans:
@@ -53,13 +53,13 @@ def edge_words(text: str) -> Spans:
 
 
 #: A short list of measures; pass others as ``units``.
-UNITS = frozenset("a c cc cm cm2 cm3 cmh2o d db dl f fl ft g gm gms gr h hr hrs hz iu k kcal kg khz km l lb lbs lpm m mcg meq mg mhz mi min ml mm mm2 mm3 mmhg mmol mo mol mos ms msec ng nm oz pg ph pm ppm psi qd s sec u ug ul um units v w wk wks x y yd yo yr yrs".split())
+UNITS = frozenset("a c d f g h k l m s u v w x y db lb cc qd yd kg mg ng pg ug ph mi wk dl fl ml ul cm gm km mm nm pm um mo yo gr hr yr ms ft iu hz oz cm2 mm2 cm3 mm3 sec mcg psi mol lpm ppm min meq lbs wks gms mos hrs yrs khz mhz msec mmhg kcal mmol cmh2o units".split())
 
 _BREAK = regex.compile(r"[\s\p{Z}\p{Cf}--[\v\f\x1c-\x1f\x85]]+", regex.V1)
-_MARK = regex.compile(r"[[\p{Sm}\p{Sk}\p{P}]--[.,'’\-#$]]|(?<=\P{Z})-|-(?=\p{L})|(?<=\P{N}),(?=.)|(?<=\p{N}),(?=\P{N})", regex.V1 | regex.S)
-_CLITIC = regex.compile(r"(?:'[SsDdMm]|n't|N'T|'ll|'LL|'ve|'VE|'re|'RE|'|’|,)\Z")
-_MEASURE = regex.compile(r"-?[0-9.xX]*[0-9.]++([A-Za-z]++)\.?")
-_DIMENSION = regex.compile(r".*?[0-9]++(?:[xX][0-9.]++)+")
+_MARK = regex.compile(r"[[\p{P}\p{Sk}\p{Sm}]--[#$'’,\-.]]|(?<=\P{Z})-|-(?=\p{L})|(?<=\P{N}),(?=.)|(?<=\p{N}),(?=\P{N})", regex.V1 | regex.S)
+_CLITIC = regex.compile(r"(?:'(?:[dmsDMS]|(?:re|ve|ll)|(?:RE|VE|LL))?|n't|N'T|[,’])\Z")
+_MEASURE = regex.compile(r"-?[Xx.0-9]*[.0-9]++([A-Za-z]++)\.?")
+_DIMENSION = regex.compile(r".*?[0-9]++(?:[Xx][.0-9]++)+")
 
 
 def ptb_words(units: frozenset[str] = UNITS) -> Callable[[str], Spans]:

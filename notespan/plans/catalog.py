@@ -135,7 +135,7 @@ def clean_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).withColumn("c", T.clean_articles(F.col("text"))).select("doc_id", F.md5("c").alias("cleaned"), F.length("c").alias("n"))
 
 
-@query(r"SELECT doc_id, md5(c) AS cleaned FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower('[**Name ' || doc_id || '**] ' || text), '\[\*\*.*name.*\*\*\]', 'NAME', 'g'), '\[\*\*.*telephone.*\*\*\]', '###-###-###', 'g'), '\[\*\*.*\*\*\]', 'IDENTIFIER', 'g'), '[^#\p{L}\p{N}_]+', ' ', 'g'), '\p{Nd}', '#', 'g') AS c FROM documents)")
+@query(r"SELECT doc_id, md5(c) AS cleaned FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower('[**Name ' || doc_id || '**] ' || text), '\[[*]{2}.*name.*[*]{2}\]', 'NAME', 'g'), '\[[*]{2}.*telephone.*[*]{2}\]', '###-###-###', 'g'), '\[[*]{2}.*[*]{2}\]', 'IDENTIFIER', 'g'), '[^#\p{L}\p{N}_]+', ' ', 'g'), '\p{Nd}', '#', 'g') AS c FROM documents)")
 def clean_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRE1, on texts with a de-identified name before them."""
     note = F.concat(F.lit("[**Name "), F.col("doc_id").cast("string"), F.lit("**] "), F.col("text"))

@@ -224,7 +224,7 @@ def parse_conllu(docs: DataFrame, per_doc: int = 15) -> DataFrame:
     return _generate(docs, rows, "doc_id long, part int, sent_id int, dep_id long, start int, end int, text string, upos string, tag string, head_id long, deprel string")
 
 
-_AST = re.compile(r'c="(.*?)" (\d+):(\d+) (\d+):(\d+)\|\|t="(.*?)"\|\|a="(.*?)"')
+_AST = re.compile(r'c="(.*?)"\s+([0-9]+):([0-9]+)\s+([0-9]+):([0-9]+)[|]{2}t="([^"]*)"[|]{2}a="([^"]*)"')
 
 
 def read_i2b2(texts: DataFrame, annotations: DataFrame) -> DataFrame:
