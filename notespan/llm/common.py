@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..sources.readers import spread
 from ..sources.storage import stored
 
-__all__ = ["Bloom", "WORD", "arrow_map", "chunks_by_bytes", "partitions", "spread", "stored", "table", "text_bytes"]
+__all__ = ["Bloom", "WORD", "arrow_map", "chunks_by_bytes", "partitions", "small_batches", "spread", "stored", "table", "text_bytes"]
 
 #: Words everywhere in this subpackage: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,6 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df`` after Arrow batches of its session were limited to ``rows``, since texts are wide: a worker holds a few MB."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if now <= 0 or now > rows:
+        df.sparkSession.conf.set(key, rows)
+    return df
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

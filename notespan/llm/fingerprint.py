@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, small_batches
 
 EXACT, NEAR, WINDOW = 32, 128, 8
 ZERO = (np.zeros(EXACT, np.uint32), np.zeros(NEAR, np.uint16))
@@ -122,7 +122,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     doc_id bounded by its quantiles. The row at each range's start is sent to the
     range before as well; no range waits for another, and none grows with the data.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     n = partitions(spark)
     low = -(1 << 63)
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("k"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, small_batches
 
 BLOCK, LEAST_CLASS = 64, 3
 
@@ -204,7 +204,7 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 def main_texts(pages: DataFrame, block: int = BLOCK) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
+    rows = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
     rows = rows.withColumn("h", F.xxhash64("page_id", "url"))
     ranged = rows.repartitionByRange(partitions(pages.sparkSession), "host", "h", "page_id").sortWithinPartitions("host", "h", "page_id", "html")
 

@@ -12,7 +12,7 @@ Rarity is counted over all documents' hash-order prefixes (where a token has no
 part in a prefix its rarity is of no account) and kept in a table of fixed size,
 at most ``MAX_SLOTS`` bytes; clashes in it only change the order, alike for all.
 Whole sets are hashed again for candidate documents only, found by a Bloom filter
-of fixed size and an exact join behind it.
+of bounded size and an exact join behind it.
 
 Defined cases: null text is empty; a document without words has an empty set,
 links with nothing and is its own component; fewer than 5 words make one shingle.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, stored
+from .common import Bloom, small_batches, stored
 from .shingles import shingle_sets
 
 PERCENT = 90
@@ -64,7 +64,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 size.append(n)
                 key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 p = n - least_overlap(n) + MATCHES
-                head.append(s[: p + 8 + p // 4].view(np.int64))
+                head.append(s[: p + 8 + p // 4].copy().view(np.int64))
             offsets = np.zeros(len(head) + 1, np.int32)
             np.cumsum([len(x) for x in head], out=offsets[1:])
             flat = np.concatenate(head) if head else np.zeros(0, np.int64)
@@ -203,8 +203,8 @@ def similar_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = x.join(y, "token").filter(near & later).groupBy("cid1", "cid2").agg(F.count("*").alias("c"), F.min(F.least("m1", "m2")).alias("m")).filter("c >= m").select("cid1", "cid2")
     pairs = stored(pairs, "candidates")
     ids = pairs.select(F.col("cid1").alias("cid")).union(pairs.select("cid2")).distinct()
-    sets = stored(sets_of(docs, classes.select("cid", "doc_id", "key").join(ids, "cid", "left_semi")), "sets")
-    return verified(pairs, sets)
+    wanted = stored(classes.select("cid", "doc_id", "key").join(ids, "cid", "left_semi"), "wanted")
+    return verified(pairs, stored(sets_of(docs, wanted), "sets"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -298,7 +298,7 @@ def _forest(edges: DataFrame) -> DataFrame:
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, n_shingles, n_similar, component_id."""
-    rows = stored(signatures(docs), "signatures")
+    rows = stored(signatures(small_batches(docs)), "signatures")
     classes = rows.filter("n > 0").groupBy("key", "n", "head").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     links = stored(similar_classes(classes, docs), "links")

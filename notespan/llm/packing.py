@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stored
+from .common import partitions, small_batches, stored
 
 LENGTH, END, BANDS, DEGREE = 2048, 1, 8, 4
 CACHE = 500_000
@@ -199,7 +199,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def pack(docs: DataFrame) -> DataFrame:
     """A row per piece of a document in a sequence."""
-    rows = tokenised(docs)
+    rows = tokenised(small_batches(docs))
     where = stored(places(rows), "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, chunks_by_bytes, stored, text_bytes
+from .common import Bloom, chunks_by_bytes, small_batches, stored, text_bytes
 from .shingles import BYTE, CHUNK, LOWER, mix, powers
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -216,7 +216,7 @@ def disclosing(docs: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]
 
 def spans(docs: DataFrame) -> DataFrame:
     """Every row's counts, base digest and all spans (start, kind, end, share), in order."""
-    base = stored(found(docs), "found")
+    base = stored(found(small_batches(docs)), "found")
     more = disclosing(docs, base)
     every = "array<struct<start:int,kind:int,end:int,share:double>>"
     own = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(1.0).alias("share"))).cast(every)

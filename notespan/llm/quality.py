@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks_by_bytes, text_bytes
+from .common import chunks_by_bytes, small_batches, text_bytes
 from .shingles import CHUNK, words
 
 LABELLED, RANK, NEIGHBOURS, THRESHOLD, FOLDS = 8192, 32, 15, 0.3, 5
@@ -120,7 +120,7 @@ def _votes(z: np.ndarray, known: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def scorer(docs: DataFrame, labels: DataFrame):
     """A pandas UDF from text to score."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    model = docs.sparkSession.sparkContext.broadcast(fit(small_batches(docs), labels))
 
     def scores(column: pa.Array) -> np.ndarray:
         if model.value is None:

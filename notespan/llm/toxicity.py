@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored
 from .quality import held_out, labelled_sample
 
 LABELLED, LEAST_DOCS, LEAST_G2, THRESHOLD = 20_000, 5, 30.0, 0.5
@@ -192,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndarra
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    model = docs.sparkSession.sparkContext.broadcast(fit(small_batches(docs), labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(model.value[0]) if model.value else None
