@@ -121,6 +121,8 @@ class Model:
     known: dict[tuple[bool, str], dict[str, float]] = field(default_factory=dict)
     suffix: dict[tuple[bool, str], dict[str, float]] = field(default_factory=dict)
     length: int = SUFFIX
+    steps: dict[tuple[str, str, str], float] = field(default_factory=dict)  # transitions that came up
+    seen: dict[str, dict[str, float]] = field(default_factory=dict)  # words that came up
 
     @classmethod
     def load(cls, tables: dict[str, DataFrame], most_rows: int = 5_000_000) -> "Model":
@@ -165,10 +167,18 @@ class Model:
         for word in words:
             mark = "+" if word[:1].isupper() else "-"
             grown: dict[tuple[str, str], tuple[float, tuple]] = {}
-            for tag, e in self.emissions(word).items():
+            found = self.seen.get(word)
+            if found is None:
+                if len(self.seen) >= 200_000:
+                    self.seen.clear()
+                found = self.seen[word] = self.emissions(word)
+            for tag, e in found.items():
                 s = tag + mark
                 for (a, b), (p, back) in paths.items():
-                    q = p + e + self.transition(a, b, s)
+                    step = self.steps.get((a, b, s))
+                    if step is None:
+                        step = self.steps[a, b, s] = self.transition(a, b, s)
+                    q = p + e + step
                     if q > -math.inf and ((b, s) not in grown or q >= grown[b, s][0]):
                         grown[b, s] = (q, (tag, back))
             if not grown:
