@@ -117,9 +117,12 @@ def usable(table: DataFrame) -> tuple[DataFrame, int]:
 
 
 def build(rows: DataFrame, width: int, k: int = K, recall: float = RECALL) -> Index:
-    sample = rows.select("v", F.xxhash64("vec_id").alias("o"), "vec_id").orderBy("o", "vec_id", "v").limit(SAMPLE).select("v").toArrow()
-    x = _matrix(sample.column("v").combine_chunks(), width)
     n = rows.count()
+    hashed = rows.select("v", F.xxhash64("vec_id").alias("o"), "vec_id")
+    if n > 4 * SAMPLE:  # the least hashes lie below this bound; without it each part would send SAMPLE vectors to one task
+        hashed = hashed.filter(F.col("o") < int(-(1 << 63) + (1 << 64) * 2 * SAMPLE / n))
+    sample = hashed.orderBy("o", "vec_id", "v").limit(SAMPLE).select("v").toArrow()
+    x = _matrix(sample.column("v").combine_chunks(), width)
     size = int(min(MOST_CENTROIDS, max(2, 2 ** round(np.log2(max(2.0, (n / 12) ** 0.5))))))
     half = max(1, width // 2)
     index = Index(codebook(x[:, :half], size), codebook(x[:, half:], size) if width > 1 else np.zeros((1, 0)))
