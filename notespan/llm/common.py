@@ -6,13 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.readers import spread
 from ..sources.storage import stored
 
-__all__ = ["Bloom", "WORD", "arrow_map", "chunks_by_bytes", "partitions", "small_batches", "spread", "stored", "table", "text_bytes"]
+__all__ = ["Bloom", "WORD", "arrow_map", "chunks_by_bytes", "partitions", "small_batches", "small_side", "spread", "stored", "table", "text_bytes"]
 
 #: Words everywhere in this subpackage: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,6 +31,12 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
+def small_side(df: DataFrame, row_bytes: Column | None = None, most: int = 32 << 20) -> DataFrame:
+    """A stored table marked for broadcast if its rows, summed by size, take at most ``most`` bytes; else it is joined by a shuffle."""
+    size = df.agg(F.sum(F.lit(32) if row_bytes is None else row_bytes)).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, small_batches, stored
+from .common import Bloom, small_batches, small_side, stored
 from .shingles import shingle_sets
 
 PERCENT = 90
@@ -319,7 +319,8 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     Of rows that repeat both doc_id and text one is kept.
     """
     found = stored(jaccard_join(docs).filter("n_similar > 0 AND doc_id IS NOT NULL"), "similar")
-    kept = docs.join(found.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    gone = stored(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    kept = docs.join(small_side(gone), "doc_id", "left_anti")
     again = stored(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
     if not again.isEmpty():
         kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))

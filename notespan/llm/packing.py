@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import partitions, small_batches, stored
 
 LENGTH, END, BANDS, DEGREE = 2048, 1, 8, 4
-CACHE = 500_000
+CACHE = 250_000
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, BANDS, dtype=np.uint64) | np.uint64(1)
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, chunks_by_bytes, small_batches, stored, text_bytes
+from .common import Bloom, chunks_by_bytes, small_batches, small_side, stored, text_bytes
 from .shingles import BYTE, CHUNK, LOWER, mix, powers
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -257,7 +257,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     touched = spans(docs).filter(F.size("all") > 0).groupBy("doc_id", "h").agg(F.first("all").alias("all"))
     touched = stored(touched.select(F.col("doc_id").alias("d"), F.col("h").alias("h2"), F.col("all").alias("marks")), "touched")
     rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.col("text").alias("t"), F.struct(*docs.columns).alias("whole"))
-    rows = rows.join(touched, (F.col("h") == F.col("h2")) & F.col("k").eqNullSafe(F.col("d")), "left")
+    rows = rows.join(small_side(touched, 64 + 24 * F.size("marks")), (F.col("h") == F.col("h2")) & F.col("k").eqNullSafe(F.col("d")), "left")
 
     @F.pandas_udf("string")
     def clean(text, marks):
