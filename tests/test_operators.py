@@ -278,3 +278,13 @@ def test_concept_spans_ignore_marks_around(spark):
         return concepts.detect_concepts(concepts.tagged_sentences(t), d)[0].count()
 
     assert {found(t) for t in ("has chest pain today", "has chest pain, today", "has (chest pain) today", '"chest pain"', "chest pain.")} <= {2, 0} and found("has (chest pain) today") == 2
+
+
+def test_tagged_words_learns_from_every_document(spark, tmp_path):
+    from notespan.plans import catalog
+
+    texts = [(1, "Abcdefg xyz the"), (7, "uvw the zzzz zzzz"), (50, "the"), (None, "qqqqq the")]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    given = {(r.doc_id, r.text): r.tag for r in catalog.tagged(spark, str(tmp_path)).collect()}
+    got = {(r.doc_id, r.text): r.tag for r in catalog.tagged_words(spark, str(tmp_path)).collect()}
+    assert len(given) == 9 and got == given  # every word is known with the one tag that it was seen with
