@@ -4,12 +4,13 @@ Each document is tokenised once; its ids go to shared storage with a small
 signature (minimum hashes of its id pairs). Documents whose minima agree are
 neighbours: they are sorted by each minimum in turn and linked to the next in that
 order, so a group of any size yields fewer links than it has members. Every node
-keeps its ``DEGREE`` likest neighbours. Nodes are ranged by the least minimum in
-their neighbourhood, which brings most neighbours together; ranges are cut by
-quantiles of a unique key, so no group is too large for a task. Inside a range, a
+keeps its ``DEGREE`` likest neighbours. Connected components of these links stay together:
+one task joins them from the likest link to the least, and only a link that would
+make a group of more than ``GROUP`` nodes is cut. Whole groups go to bins by a hash,
+about ``BIN`` nodes a bin, so the number of partitions changes nothing. Inside a bin, a
 path starts at the unvisited node of lowest degree and goes on to the likest
 unvisited neighbour until there is none. Windows of 2048 ids are filled along the
-paths; what remains of a range after its last full window is cut into sequences of
+paths; what remains of a bin after its last full window is cut into sequences of
 a power of two of ids each, which need no padding.
 
 Only the places found (a few numbers a document) meet the stored ids again.
@@ -23,17 +24,18 @@ from __future__ import annotations
 
 import base64
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, small_batches, stored
 
 LENGTH, END, BANDS, DEGREE = 2048, 1, 8, 4
+GROUP, BIN = 16384, 4096
 CACHE = 250_000
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, BANDS, dtype=np.uint64) | np.uint64(1)
 
@@ -126,26 +128,67 @@ def tokenised(docs: DataFrame) -> DataFrame:
 
 
 def neighbours(nodes: DataFrame, n: int) -> DataFrame:
-    """(row, near): each linked node's likest neighbours, as structs of likeness and row, and their least minimum."""
+    """(row, near): each linked node's likest neighbours, as structs of likeness and row."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        band, sig, row = np.zeros(0, np.int32), np.zeros((0, BANDS), np.uint32), np.zeros(0, np.int64)
         for b in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for band, sig, row in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if last and last[0] == band and last[1][4 * band : 4 * band + 4] == sig[4 * band : 4 * band + 4]:
-                    like = sum(sig[i : i + 4] == last[1][i : i + 4] for i in range(0, 4 * BANDS, 4))
-                    for x, y, s in ((row, last[2], last[1]), (last[2], row, sig)):
-                        for c, v in zip(out, (x, y, like, s[:4])):
-                            c.append(v)
-                last = (band, sig, row)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["row", "other", "like", "label"])
+            # The last row of the batch before stands first.
+            band = np.concatenate([band[-1:], b.column(0).to_numpy()])
+            sig = np.concatenate([sig[-1:], np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, BANDS)])
+            row = np.concatenate([row[-1:], b.column(2).to_numpy()])
+            equal = sig[1:] == sig[:-1]
+            hit = np.flatnonzero((band[1:] == band[:-1]) & equal[np.arange(len(equal)), band[1:]])
+            x, y, like = row[hit + 1], row[hit], equal[hit].sum(1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, y])), pa.array(np.concatenate([y, x])), pa.array(np.concatenate([like, like]))], names=["row", "other", "like"])
 
     band = F.explode(F.array(*[F.lit(i) for i in range(BANDS)])).alias("band")
     keys = nodes.select(band, "sig", "row").withColumn("part", F.substring("sig", F.col("band") * 4 + 1, F.lit(4)))
-    links = keys.repartitionByRange(n, "band", "part", "sig", "row").sortWithinPartitions("band", "part", "sig", "row").select("band", "sig", "row").mapInArrow(link, "row long, other long, like int, label binary")
+    # Equal minima stay in one range, else the links at its ends would be lost; rows are of some 50 bytes.
+    links = keys.repartitionByRange(n, "band", "part").sortWithinPartitions("band", "part", "sig", "row").select("band", "sig", "row").mapInArrow(link, "row long, other long, like int")
     near = F.slice(F.sort_array(F.collect_set(F.struct("like", "other")), False), 1, DEGREE)
-    return links.groupBy("row").agg(near.alias("near"), F.min("label").alias("least"))
+    return links.groupBy("row").agg(near.alias("near"))
+
+
+def groups(near: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """(row, root): connected components of the links, the likest first; a link that would join more than ``GROUP`` nodes is cut.
+
+    ``sizes`` has the rows of each block of 2^33 row numbers, so that a node takes eight bytes of the one task.
+    """
+    first, total = {}, 0
+    for k in sorted(sizes):
+        first[k] = total
+        total += sizes[k]
+    bases, starts = np.array(sorted(first), np.int64), np.array([first[k] for k in sorted(first)], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent, size = array("i", range(total)), array("i", [1]) * total
+
+        def dense(rows: np.ndarray) -> list[int]:
+            return (starts[np.searchsorted(bases, rows >> 33)] + (rows & (1 << 33) - 1)).tolist()
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for b in batches:
+            for x, y in zip(dense(b.column(0).to_numpy()), dense(b.column(1).to_numpy())):
+                x, y = root(x), root(y)
+                if x != y and size[x] + size[y] <= GROUP:
+                    x, y = min(x, y), max(x, y)
+                    parent[y] = x
+                    size[x] += size[y]
+        for lo in range(0, total, 10_000):
+            x = np.arange(lo, min(lo + 10_000, total))
+            yield pa.RecordBatch.from_arrays([pa.array(sparse(x)), pa.array(sparse(np.array([root(i) for i in x.tolist()], np.int64)))], names=["row", "root"])
+
+    def sparse(x: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(starts, x, "right") - 1
+        return (bases[k] << 33) + x - starts[k]
+
+    links = near.select("row", F.explode("near").alias("x")).select(F.least("row", "x.other").alias("a"), F.greatest("row", "x.other").alias("b"), "x.like").distinct()
+    return links.repartition(1).sortWithinPartitions(F.desc("like"), "a", "b").select("a", "b").mapInArrow(run, "row long, root long")
 
 
 def walk(nodes: list[tuple[int, list[int]]]) -> Iterator[int]:
@@ -171,27 +214,37 @@ def cuts(total: int) -> np.ndarray:
 
 
 def places(rows: DataFrame) -> DataFrame:
-    """(row, stream, at, total): where each document's ids begin in its range's stream."""
+    """(row, stream, at, total): where each document's ids begin in its bin's stream."""
     n = partitions(rows.sparkSession)
     nodes = rows.select("row", "doc_id", "n", "sig")
-    near = neighbours(nodes, n).select(F.col("row").alias("r"), "near", "least")
-    joined = nodes.join(near, F.col("row") == F.col("r"), "left").select("row", "doc_id", "n", F.least(F.substring("sig", 1, 4), F.coalesce("least", F.substring("sig", 1, 4))).alias("label"), F.coalesce(F.col("near.other"), F.array().cast("array<long>")).alias("near"))
+    near = stored(neighbours(nodes, n), "near")
+    sizes = {r.k: r.n for r in nodes.groupBy(F.shiftright("row", 33).alias("k")).agg(F.count("*").alias("n")).collect()}  # a row a task
+    root = groups(near, sizes).select(F.col("row").alias("g"), "root")
+    bins = max(1, sum(sizes.values()) // BIN)
+    near = near.select(F.col("row").alias("r"), F.col("near.other").alias("near"))
+    joined = nodes.join(near, F.col("row") == F.col("r"), "left").join(root, F.col("row") == F.col("g")).select("row", "doc_id", "n", F.substring("sig", 1, 4).alias("label"), F.coalesce("near", F.array().cast("array<long>")).alias("near"), F.pmod(F.xxhash64("root"), F.lit(bins)).alias("bin"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, size = [], {}
-        for b in batches:
-            nodes += zip(b.column(0).to_pylist(), b.column(2).to_pylist())
-            size.update(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        if nodes:
-            order = list(walk(nodes))
+        def done(stream: int, held: list[tuple]) -> pa.RecordBatch:
+            size = {r: n for r, n, _, _ in held}
+            order = list(walk([(r, near) for r, _, near, _ in held]))
             n = np.array([size[r] for r in order], np.int64)
             ends = np.cumsum(n)
-            stream = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(np.full(len(n), stream, np.int64)), pa.array(ends - n), pa.array(np.full(len(n), ends[-1]))], names=["row", "stream", "at", "total"])
+            return pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(np.full(len(n), stream, np.int64)), pa.array(ends - n), pa.array(np.full(len(n), ends[-1]))], names=["row", "stream", "at", "total"])
 
-    # Sorted by what ties go by; every range is a bounded share of the nodes.
-    ranged = joined.repartitionByRange(n, "label", "doc_id", "row").sortWithinPartitions("label", "doc_id", "row")
-    return ranged.select("row", "n", "near").mapInArrow(run, "row long, stream long, at long, total long")
+        held: list[tuple] = []
+        for b in batches:
+            for r in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if held and held[-1][3] != r[3]:
+                    yield done(held[-1][3], held)
+                    held = []
+                held.append(r)
+        if held:
+            yield done(held[-1][3], held)
+
+    # Sorted by what ties go by; a bin is whole in one partition, however many there are.
+    ranged = joined.repartition(n, "bin").sortWithinPartitions("bin", "label", "doc_id", "row")
+    return ranged.select("row", "n", "near", "bin").mapInArrow(run, "row long, stream long, at long, total long")
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

@@ -344,3 +344,38 @@ def test_grammar_reads_clauses():
     (c,) = g.clauses("i will hurt you")
     assert c["threat"] == 1
     assert toxicity.CASCADE[toxicity.START, "I"] == (toxicity.START, "I")
+
+
+def test_packing_keeps_links_at_any_number_of_partitions(spark):
+    rng = random.Random(12)
+    lists = [["v%d" % rng.randrange(3000) for _ in range(60)] for _ in range(40)]
+    pairs = []
+    for i in range(400):  # groups of ten that share most words
+        w = list(lists[i % 40])
+        for _ in range(i // 40):
+            w[rng.randrange(60)] = "x%d" % rng.randrange(10**6)
+        pairs.append((i, " ".join(w)))
+    rows = packing.tokenised(spark.createDataFrame(pairs, "doc_id long, text string").repartition(3))
+    ids = {r.row: r.doc_id for r in rows.select("row", "doc_id").collect()}
+    before, orders, kept = spark.conf.get("spark.sql.shuffle.partitions"), [], []
+    try:
+        for n in (1, 6, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            links = [(r.row, x.other) for r in packing.neighbours(rows.select("row", "sig"), 4).collect() for x in r.near]
+            where = {r.row: r for r in packing.places(rows).collect()}
+            assert sorted(where) == sorted(ids)
+            orders.append(sorted((r.stream, r.at, ids[r.row]) for r in where.values()))
+            # A path goes on to a neighbour wherever one is left.
+            seq = [row for _, _, row in sorted((r.stream, r.at, r.row) for r in where.values())]
+            near = set(links)
+            kept.append(sum((a, b) in near for a, b in zip(seq, seq[1:])))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(links) > 400 and orders[0] == orders[1] == orders[2] and min(kept) > 200
+
+
+def test_packing_cuts_only_links_of_oversized_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 4)
+    near = spark.createDataFrame([(0, [(8, 1), (1, 2)]), (2, [(8, 3)]), (4, [(7, 3), (1, 5)])], "row long, near array<struct<like:int,other:long>>")
+    roots = {r.row: r.root for r in packing.groups(near, {0: 6}).collect()}
+    assert roots == {0: 0, 1: 0, 2: 2, 3: 2, 4: 2, 5: 2}  # the link of 0 and 2 comes first of likeness 1, but would make five
