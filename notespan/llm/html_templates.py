@@ -4,15 +4,17 @@ Pages of one host are compared in blocks. A page is a sequence of tokens: tags
 with their attributes' names and class, and words. Tokens that occur equally often
 on every page of the block, page by page, share an occurrence vector and form an
 equivalence class; a class of several tokens, in the same order on all pages and
-nested without overlap in the classes found so far, belongs to the template. What
+nested without overlap in the classes found so far, belongs to the template; a
+class that repeats, whatever its vector, does so in that order every time. What
 lies between two template tokens is a slot. Slots inside parts that never hold
 main text (by tag or class: menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, comments) are dropped; of the others, those inside the
-template's article or main element are kept if there is such an element, else
-every slot whose text isn't the template's own.
+forms, scripts, styles, comments) are dropped, and so is what lies outside the
+template's article or main element if there is such an element; of the others,
+every slot whose text isn't the template's own is kept. Inside an article that
+takes ``LEAST_PAGES`` different pages, since what two or three share may be content.
 
 Scale. Pages are ranged by host, a hash and page_id, and blocks are ``BLOCK`` pages
-that follow one another; a large host is many blocks in many ranges.
+that follow one another, the last of a host up to half as many more; a large host is many blocks in many ranges.
 
 Defined cases: a null or empty page has an empty text; a page that is alone in its
 block has no template, so the structural rule alone decides; null urls are a host
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, small_batches
 
-BLOCK, LEAST_CLASS = 64, 3
+BLOCK, LEAST_CLASS, LEAST_PAGES = 64, 3, 4
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 _ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -157,9 +159,21 @@ def template(pages: list[Page]) -> list[tuple[str, int]]:
                 for j in range(vector[0]):
                     if len({bisect_left(e, w[t][j]) for e, w in zip(edges, where)}) == 1:
                         out.append((t, j))
+        elif len(set(vector)) > 1 and len(tokens) >= LEAST_CLASS and _repeats(tokens, where, edges):
+            out += [(t, j) for t in tokens for j in range(max(vector))]
     return out
 
 
+def _repeats(tokens: list[str], where: list[dict[str, list[int]]], edges: list[list[int]]) -> bool:
+    """Whether the tokens come in the same order in every repetition on every page, each repetition inside one gap of the template."""
+    order = sorted(tokens, key=lambda t: where[0][t][0])
+    for w, e in zip(where, edges):
+        at = [i for turn in zip(*(w[t] for t in order)) for i in turn]
+        if at != sorted(at) or any(bisect_left(e, at[i]) != bisect_left(e, at[i + len(order) - 1]) for i in range(0, len(at), len(order))):
+            return False
+    return True
+
+
 def _ordered(tokens: list[str], at: list[int]) -> list[str]:
     """The longest part of ``tokens`` whose places increase."""
     tops: list[int] = []
@@ -179,21 +193,24 @@ def _ordered(tokens: list[str], at: list[int]) -> list[str]:
 
 def extract(pages: list[Page]) -> list[str]:
     """Main texts of a block's pages."""
-    own = set(template(pages))
+    # Copies of a page tell nothing of its template.
+    different = list({tuple(zip(p.tokens, p.block)): p for p in pages}.values())
+    own = set(template(different))
     framed = any(t.startswith(("<article ", "<main ")) for t, _ in own)
     out = []
     for p in pages:
-        blocks = [n for n in sorted(p.raw) if not p.out[n]]
-        if framed or any(p.inner[n] for n in blocks):
-            kept = [n for n in blocks if p.inner[n]]
-        else:
-            free: Counter = Counter()
-            seen: Counter = Counter()
-            for t, n in zip(p.tokens, p.block):
-                if n >= 0 and (t, seen[t]) not in own:
-                    free[n] += 1
-                seen[t] += 1
-            kept = [n for n in blocks if free[n]] if own else blocks
+        kept = [n for n in sorted(p.raw) if not p.out[n]]
+        inside = framed or any(p.inner[n] for n in kept)
+        if inside:
+            kept = [n for n in kept if p.inner[n]]
+        free: Counter = Counter()
+        seen: Counter = Counter()
+        for t, n in zip(p.tokens, p.block):
+            if n >= 0 and (t, seen[t]) not in own:
+                free[n] += 1
+            seen[t] += 1
+        if own and (not inside or len(different) >= LEAST_PAGES):
+            kept = [n for n in kept if free[n]]
         out.append("\n\n".join(t for t in (p.text(n) for n in kept) if t))
     return out
 
@@ -213,14 +230,22 @@ def main_texts(pages: DataFrame, block: int = BLOCK) -> DataFrame:
             texts = extract([Page(r[2]) for r in rows])
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+        def last(rows):
+            # Less than half a block goes with the block before it.
+            at = block if 2 * len(rows) >= 3 * block else len(rows)
+            for part in filter(None, (rows[:at], rows[at:])):
+                yield done(part)
+
         held: list[tuple] = []
         for b in batches:
             for r in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if held and (len(held) >= block or held[-1][3] != r[3]):
-                    yield done(held)
+                if held and held[-1][3] != r[3]:
+                    yield from last(held)
                     held = []
+                elif len(held) == 2 * block:
+                    yield done(held[:block])
+                    held = held[block:]
                 held.append(r)
-        if held:
-            yield done(held)
+        yield from last(held)
 
     return ranged.select("page_id", "url", "html", "host").mapInArrow(run, SCHEMA)

@@ -127,3 +127,20 @@ def test_pipeline_stages(spark, stages):
     for p in pieces:
         total.setdefault(p.doc_id, [p.doc_tokens, 0])[1] += p.length
     assert all(n == t * mixed.count(i) for i, (t, n) in total.items())
+
+
+def test_template_text_inside_an_article_is_left_out(spark):
+    record = "<div class='rec'><p>Rate this entry now</p><p>own{0} words{0} of{0}</p></div>"
+    page = "<html><body><article><h1>Title{0}</h1><p>Written by the whole staff</p>{1}<p>Body{0} of{0}</p></article></body></html>"
+    sources = [page.format(i, "".join(record.format(f"{i}x{k}") for k in range(i % 3 + 1))) for i in range(5)]
+    want = ["\n\n".join([f"Title{i}", *[f"own{i}x{k} words{i}x{k} of{i}x{k}" for k in range(i % 3 + 1)], f"Body{i} of{i}"]) for i in range(5)]
+    assert html_templates.extract([html_templates.Page(s) for s in sources]) == want
+    # copies of one page are no template; a small remainder goes with the block before
+    assert "Written by" in html_templates.extract([html_templates.Page(sources[0])] * 3)[1]
+    df = spark.createDataFrame([(i, f"http://a.org/{i}", s) for i, s in enumerate(sources)], "page_id long, url string, html string").coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        assert {r.page_id: r.text for r in html_templates.main_texts(df, 4).collect()} == dict(enumerate(want))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
