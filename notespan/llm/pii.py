@@ -4,16 +4,15 @@ Base spans are e-mail addresses, IP addresses, payment cards and phone numbers,
 found by pattern in whole texts. The values found are the protected entities. A
 term reveals an entity as far as seeing it tells of the entity: the pointwise
 mutual information log2(co * N / (df * n)) over the entity's own information
-log2(N / n), where n is the number of the entity's different contexts, co of those
-that hold the term, df the number of documents with the term and N of all. A term
-with at least ``SUPPORT`` contexts and a share of ``GENERALISE`` is replaced by its
-shape, with a share of ``REMOVE`` removed. Contexts that are the same count once,
-so copies of a document aren't evidence; df counts every document, which can only
-lower a term's share.
+log2(N / n), where n is the number of texts with the entity, co of those that hold
+the term anywhere outside base spans, df of all texts with the term and N of all. A
+term with at least ``SUPPORT`` texts and a share of ``GENERALISE`` is replaced by its
+shape, with a share of ``REMOVE`` removed. All four count different texts, so copies of
+a document change nothing. Terms have ``LEAST_BYTES`` bytes at least.
 
-Scale. Contexts exist only around entities. Candidate terms, few after SUPPORT,
-are looked for in all texts by a Bloom filter of bounded size with an exact join
-behind it, and only their occurrences are shuffled, never texts.
+Scale. Terms are kept only of texts with entities. Candidate terms are counted in
+all texts behind a Bloom filter of bounded size, a count a term and batch; then only
+the occurrences of disclosing terms are shuffled, never texts.
 
 Defined cases: a null text is empty and has no spans; repeated rows are rows;
 spans are half-open ranges of code points; a term that touches a base span is left
@@ -37,7 +36,7 @@ from .shingles import BYTE, CHUNK, LOWER, mix, powers
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
-WINDOW, LEAST_BYTES = 80, 4
+LEAST_BYTES = 4
 
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -128,31 +127,29 @@ def term_hash(word: str) -> int:
     return int(h[0]) if len(h) else 0
 
 
-_FOUND = "doc_id long, h long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, contexts array<struct<e:long,c:long,terms:array<long>>>"
+_FOUND = "doc_id long, h long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, entities array<long>, terms array<long>"
 
 
-def _contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """For each span its value and the terms within WINDOW characters on its line."""
-    out = []
+def _entities(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """The different values of the spans, and the different terms of the text outside them."""
+    if not spans:
+        return [], []
+    values, rest, at = set(), [], 0
     for a, k, b in spans:
-        lo = max(text.rfind("\n", 0, a) + 1, a - WINDOW)
-        hi = text.find("\n", b)
-        hi = min(len(text) if hi < 0 else hi, b + WINDOW)
-        around = text[lo:a] + "\n" + text[b:hi]
-        raw = np.frombuffer(around.encode("utf-8", "surrogatepass"), np.uint8)
-        t = terms(raw, np.array([0, len(raw)]))[0]
         value = re.sub(r"[ ().-]", "", text[a:b]) if k > 1 else text[a:b].lower()
-        digest = lambda s: int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True)
-        out.append({"e": digest(f"{KINDS[k]}:{value}".encode("utf-8", "surrogatepass")), "c": digest(t.tobytes()), "terms": np.unique(t).tolist()})
-    return out
+        values.add(int.from_bytes(hashlib.blake2b(f"{KINDS[k]}:{value}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
+        rest.append(text[at:a])
+        at = max(at, b)
+    raw = np.frombuffer("\n".join([*rest, text[at:]]).encode("utf-8", "surrogatepass"), np.uint8)
+    return sorted(values), np.unique(terms(raw, np.array([0, len(raw)]))[0]).tolist()
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """Base spans of every row, and the contexts of the entities in them."""
+    """Base spans of every row, the entities in them and the terms beside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(8)]
             for text in b.column(2).to_pylist():
                 text = text or ""
                 spans = base_spans(text)
@@ -161,11 +158,11 @@ def found(docs: DataFrame) -> DataFrame:
                     cols[i].append(kinds.count(i))
                 cols[4].append(hashlib.sha256(joined(spans).encode()).hexdigest())
                 cols[5].append([{"start": a, "kind": k, "end": e} for a, k, e in spans])
-                cols[6].append(_contexts(text, spans))
+                for c, v in zip(cols[6:], _entities(text, spans)):
+                    c.append(v)
             span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-            ctx = pa.list_(pa.struct([("e", pa.int64()), ("c", pa.int64()), ("terms", pa.list_(pa.int64()))]))
-            arrays = [b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.string()), pa.array(cols[5], span), pa.array(cols[6], ctx)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "contexts"])
+            arrays = [b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.string()), pa.array(cols[5], span), *[pa.array(c, pa.list_(pa.int64())) for c in cols[6:]]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "terms"])
 
     return _keyed(docs).select("doc_id", "h", "text").mapInArrow(run, _FOUND)
 
@@ -197,21 +194,52 @@ def occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(run, "doc_id long, h long, term long, start int, end int").join(wanted.select("term").distinct(), "term", "left_semi")
 
 
+def frequencies(docs: DataFrame, base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, df) of the wanted terms: different texts that hold each."""
+    again = stored(base.groupBy("h").count().filter("count > 1").select("h"), "copies")
+    spark = docs.sparkSession
+    bloom, copies = spark.sparkContext.broadcast(Bloom.of(wanted, "term")), spark.sparkContext.broadcast(Bloom.of(again, "h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, ends = text_bytes(b.column(1))
+            h = b.column(0).to_numpy()
+            maybe = copies.value.has(h)
+            for lo, hi in chunks_by_bytes(ends, CHUNK):
+                t, _, _, row = terms(raw[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo])
+                hit = bloom.value.has(t)
+                t, row = t[hit], row[hit] + lo
+                order = np.lexsort((t, row))
+                t, row = t[order], row[order]
+                new = np.ones(len(t), bool)
+                new[1:] = (t[1:] != t[:-1]) | (row[1:] != row[:-1])
+                t, row = t[new], row[new]
+                # A text that may have copies goes by its hash, the others are counted here.
+                own = maybe[row]
+                one, n = np.unique(t[~own], return_counts=True)
+                texts = pa.concat_arrays([pa.nulls(len(one), pa.int64()), pa.array(h[row[own]])])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([one, t[own]])), texts, pa.array(np.concatenate([n, np.ones(int(own.sum()), np.int64)]))], names=["term", "h", "n"])
+
+    seen = _keyed(docs).select("h", "text").mapInArrow(run, "term long, h long, n long").groupBy("term", "h").agg(F.sum("n").alias("n"))
+    df = seen.groupBy("term").agg(F.sum(F.when(F.col("h").isNull(), F.col("n")).otherwise(1)).alias("df"))
+    return df.join(wanted.select("term").distinct(), "term", "left_semi")
+
+
 def disclosing(docs: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """(term, share) of disclosing terms and their occurrences; None if no term has the support."""
-    total = base.count()
-    ctx = base.select(F.explode("contexts").alias("x")).select("x.*").dropDuplicates(["e", "c"])
-    size = ctx.groupBy("e").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT)
-    co = ctx.join(size, "e").select("e", "n", F.explode("terms").alias("term")).groupBy("e", "term", "n").agg(F.count("*").alias("co")).filter(F.col("co") >= SUPPORT)
+    """(term, share) of disclosing terms and their occurrences; None if there are none."""
+    total = base.select("h").distinct().count()
+    texts = base.filter(F.size("entities") > 0).select("h", "entities", "terms").dropDuplicates(["h"])
+    held = texts.select("h", "terms", F.explode("entities").alias("e"))
+    size = held.groupBy("e").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT)
+    co = held.join(size, "e").select("e", "n", F.explode("terms").alias("term")).groupBy("e", "term", "n").agg(F.count("*").alias("co")).filter(F.col("co") >= SUPPORT)
     co = stored(co, "candidates")
     if co.isEmpty():
         return None
-    seen = stored(occurrences(docs, co.select("term")), "occurrences")
-    df = seen.select("term", "doc_id", "h").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    df = frequencies(docs, base, stored(co.select("term").distinct(), "wanted"))
     own = F.log2(F.lit(float(total)) / F.col("n"))
     share = F.when(own > 0, F.log2(F.col("co") * float(total) / (F.col("df") * F.col("n"))) / own).otherwise(0.0)
-    shares = co.join(df, "term").groupBy("term").agg(F.max(share).alias("share")).filter(F.col("share") >= GENERALISE)
-    return stored(shares, "disclosing"), seen
+    shares = stored(co.join(df, "term").groupBy("term").agg(F.max(share).alias("share")).filter(F.col("share") >= GENERALISE), "disclosing")
+    return None if shares.isEmpty() else (shares, stored(occurrences(docs, shares), "occurrences"))
 
 
 def spans(docs: DataFrame) -> DataFrame:

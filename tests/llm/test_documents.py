@@ -379,3 +379,19 @@ def test_packing_cuts_only_links_of_oversized_groups(spark, monkeypatch):
     near = spark.createDataFrame([(0, [(8, 1), (1, 2)]), (2, [(8, 3)]), (4, [(7, 3), (1, 5)])], "row long, near array<struct<like:int,other:long>>")
     roots = {r.row: r.root for r in packing.groups(near, {0: 6}).collect()}
     assert roots == {0: 0, 1: 0, 2: 2, 3: 2, 4: 2, 5: 2}  # the link of 0 and 2 comes first of likeness 1, but would make five
+
+
+def test_terms_far_from_an_entity_count_and_copies_do_not(spark):
+    filler = "\n".join("line %d of it" % i for i in range(30))
+    rows = [(i, f"Name: Zorblax\n{filler}\nunique{i}\nPhone: +1 (017) 555-7713") for i in range(3)]
+    rows += [(10 + i, f"Name: other{i}\n{filler}\nplain text") for i in range(200)]
+    shares = []
+    for copies in (0, 400):
+        docs = spark.createDataFrame(rows + [(1000 + k, rows[1][1]) for k in range(copies)], "doc_id long, text string")
+        base = pii.found(docs).cache()
+        found, _ = pii.disclosing(docs, base)
+        shares.append({r.term: r.share for r in found.collect()})
+        base.unpersist()
+    assert shares[0] == shares[1] and set(shares[0]) == {pii.term_hash("zorblax"), pii.term_hash("phone")}
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert not any("Zorblax" in t for t in clean.values()) and clean[10] == rows[3][1]
