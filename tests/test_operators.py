@@ -288,3 +288,16 @@ def test_tagged_words_learns_from_every_document(spark, tmp_path):
     given = {(r.doc_id, r.text): r.tag for r in catalog.tagged(spark, str(tmp_path)).collect()}
     got = {(r.doc_id, r.text): r.tag for r in catalog.tagged_words(spark, str(tmp_path)).collect()}
     assert len(given) == 9 and got == given  # every word is known with the one tag that it was seen with
+
+
+def test_alignment_scores_every_long_form(spark):
+    a = spark.createDataFrame([("abc",), ("zz",)], "abbr string")
+    names = ["a", "bc", "A b-c", "x/bC d", ""]
+    b = spark.createDataFrame([(n,) for n in names], "longform string")
+    for abbr in ("abc", "ZZ", ""):
+        assert acronyms._align_all(abbr, names).tolist() == [acronyms.align(abbr, n) for n in names]
+    for mode in ("best", "ties"):
+        got = {}
+        for r in acronyms.align_longforms(a, b.filter("longform IN ('a', 'bc')"), mode).collect():
+            got.setdefault(r.abbr, set()).add((r.longform, r.score))
+        assert got == {"abc": {("bc", 1.0)}, "zz": {("bc", -8.0)} if mode == "best" else {("a", -8.0), ("bc", -8.0)}}
