@@ -103,6 +103,16 @@ class Bloom:
             hit &= (self.words[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
         return hit
 
+    def test(self, spark: SparkSession) -> Callable[[Column], Column]:
+        """The filter as a function of a long column; other columns of the row don't reach Python."""
+        shared = spark.sparkContext.broadcast(self)
+
+        @F.pandas_udf("boolean")
+        def hit(keys):
+            return keys.__class__(shared.value.has(keys.to_numpy()))
+
+        return hit
+
     @classmethod
     def of(cls, df: DataFrame, column: str, most: int = 1 << 29) -> "Bloom":
         """Built on the executors from a stored table, about 16 bits a key and ``most`` bits (64 MB) at most.

@@ -7,8 +7,15 @@ share at least m tokens. Each document takes the m whose estimated cost is least
 posting entries read, plus verifications expected, which more matches make rarer.
 A pair is verified when it shares as many prefix tokens as the smaller of its m.
 
+For a given pair of sizes the overlap it needs is known, so only the starts of the
+prefixes that this overlap leaves are compared (``i < n - overlap + m``). A posting
+carries the parities of its set in 128 ranges of hashes: sets differ by at least as
+many tokens as parities, so most pairs that share a passage, or a token by chance,
+are dropped where they are found.
+
 Scale. Equal sets are one class from the start, so a group of copies is one row.
-Rarity is counted over all documents' hash-order prefixes (where a token has no
+A token in over ``HOT`` prefixes is split by bands of set sizes and chunks of its
+postings, so no key gathers all of a frequent token's documents. Rarity is counted over all documents' hash-order prefixes (where a token has no
 part in a prefix its rarity is of no account) and kept in a table of fixed size,
 at most ``MAX_SLOTS`` bytes; clashes in it only change the order, alike for all.
 Whole sets are hashed again for candidate documents only, found by a Bloom filter
@@ -27,20 +34,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Bloom, small_batches, small_side, stored
-from .shingles import shingle_sets
+from .shingles import mix, shingle_sets
 
 PERCENT = 90
 MATCHES = 4
 #: A verification sends two whole sets, some hundred times the bytes of a posting entry.
 VERIFY_COST = 200.0
 MAX_SLOTS = 1 << 24
+#: Heads that hold a token from which on it counts as frequent; rarer tokens are alike.
+FREQUENT = 8
 #: Further documents expected to hold a token that isn't among the frequent ones.
 UNLISTED = 0.1
 SETS = 128
+#: Postings of a token, by power of two, from which they are split into chunks of about so many.
+HOT = 2048
+#: Columns of a posting's parities.
+ODD = ("odd0", "odd1")
+#: Bits of the parities that candidates are held against before their sets are sent.
+WIDE = 1024
+#: Sets of linked sizes are in one band or in neighbouring ones.
+BAND = float(np.log(100 / PERCENT)) * 1.0001
 
 
 def least_overlap(n: int) -> int:
@@ -49,35 +66,48 @@ def least_overlap(n: int) -> int:
     return -(-PERCENT * (n + small) // (100 + PERCENT))
 
 
+def needed(n1: Column, n2: Column) -> Column:
+    """The least o with (100 + PERCENT) * o >= PERCENT * (n1 + n2), in whole numbers."""
+    return F.floor(((n1 + n2) * PERCENT + 99 + PERCENT) / (100 + PERCENT))
+
+
 def _slots(tokens: np.ndarray, mask: int) -> np.ndarray:
     return ((tokens.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64) & mask
 
 
+def parities(tokens: np.ndarray, bits: int = 64 * len(ODD)) -> bytes:
+    """For each of so many ranges of hashes whether the set holds an odd number of tokens there."""
+    return np.packbits(np.bincount((tokens.view(np.uint64) >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, set size n, 128-bit set hash, and the start of the set in hash order."""
+    """doc_id, h (the text's hash), set size n, 128-bit set hash, parities, and the start of the set in hash order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, key, head = [], [], []
+            size, key, odd, wide, head = [], [], [], [], []
             for s in shingle_sets(b.column(1)):
                 n = len(s)
                 size.append(n)
                 key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                odd.append(parities(s))
+                wide.append(parities(s, WIDE))
                 p = n - least_overlap(n) + MATCHES
                 head.append(s[: p + 8 + p // 4].copy().view(np.int64))
             offsets = np.zeros(len(head) + 1, np.int32)
             np.cumsum([len(x) for x in head], out=offsets[1:])
             flat = np.concatenate(head) if head else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "n", "key", "head"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(odd, pa.binary()), pa.array(wide, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "h", "n", "key", "odd", "wide", "head"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key binary, head array<long>")
+    own = F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", own).mapInArrow(run, "doc_id long, h long, n long, key binary, odd binary, wide binary, head array<long>")
 
 
 def _rehashed(docs: DataFrame, wanted: DataFrame, each, schema: str) -> DataFrame:
-    """``each(sets)`` for the texts of ``wanted`` (cid, doc_id, key): columns of ``schema`` after doc_id and key, then cid.
+    """``each(sets)`` for the texts of ``wanted`` (doc_id, key): its other columns, then those of ``schema``.
 
     Texts are found by a Bloom filter and hashed anew; an exact join behind it drops
-    what else it let through, and other rows of the same doc_id or class.
+    what else it let through. A row that repeats doc_id and set comes as often.
     """
     bloom = docs.sparkSession.sparkContext.broadcast(Bloom.of(wanted, "doc_id"))
 
@@ -94,9 +124,9 @@ def _rehashed(docs: DataFrame, wanted: DataFrame, each, schema: str) -> DataFram
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, key binary, {schema}")
     names = [x.split()[0] for x in schema.split(", ")]
-    w = wanted.select(F.col("key").alias("k"), F.col("doc_id").alias("d"), "cid")
-    kept = found.join(w, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("cid", *names)
-    return kept.dropDuplicates(["cid"])
+    more = [c for c in wanted.columns if c not in ("doc_id", "key")]
+    w = wanted.select(F.col("key").alias("k"), F.col("doc_id").alias("d"), *more)
+    return found.join(w, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select(*more, *names)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -105,16 +135,9 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)))
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cid, tokens) of the wanted classes."""
-    return _rehashed(docs, wanted, lambda sets: [_lists(sets)], "tokens array<long>")
-
-
-def rarity(classes: DataFrame) -> tuple[np.ndarray, int]:
-    """Log2 of the posting length of frequent tokens by slot; the table's size is bounded."""
-    counts = classes.select(F.explode("head").alias("token")).groupBy("token").count().filter("count >= 2")
-    counts = stored(counts.withColumn("level", F.least(F.lit(40), F.floor(F.log2("count"))).cast("int")).select("token", "level"), "frequent")
-    by_level = {r.level: r.n for r in counts.groupBy("level").agg(F.count("*").alias("n")).collect()}
+def slot_levels(counts: DataFrame, least: int = 0) -> tuple[np.ndarray, int]:
+    """Log2 of the counts of tokens (token, level) by slot, from ``least`` on; the table's size is bounded."""
+    by_level = {r.level: r.n for r in counts.filter(F.col("level") >= least).groupBy("level").agg(F.count("*").alias("n")).collect()}
     least, held = 41, 0
     for level in sorted(by_level, reverse=True):
         if held + by_level[level] > MAX_SLOTS // 4 and held:
@@ -129,13 +152,19 @@ def rarity(classes: DataFrame) -> tuple[np.ndarray, int]:
             yield pa.RecordBatch.from_arrays([pa.array(_slots(b.column(0).to_numpy(zero_copy_only=False), size - 1)), b.column(1)], names=["slot", "level"])
 
     out = np.zeros(size, np.uint8)
-    best = counts.filter(F.col("level") >= least).mapInArrow(slots, "slot long, level int").groupBy("slot").agg(F.max("level").alias("level"))
-    got = best.toArrow()  # at most one row per slot
-    if got.num_rows:
+    if held:
+        best = counts.filter(F.col("level") >= least).mapInArrow(slots, "slot long, level int").groupBy("slot").agg(F.max("level").alias("level"))
+        got = best.toArrow()  # at most one row per slot
         out[got.column("slot").to_numpy()] = got.column("level").to_numpy()
     return out, size - 1
 
 
+def repeated_tokens(tokens: DataFrame, name: str, least: int) -> DataFrame:
+    """(token, level) of the tokens that occur ``least`` times or more; stored."""
+    counts = tokens.groupBy("token").count().filter(F.col("count") >= least)
+    return stored(counts.select("token", F.least(F.lit(40), F.floor(F.log2("count"))).cast("int").alias("level")), name)
+
+
 def _prefix(tokens: np.ndarray, n: int, levels: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Tokens in the corpus' order as far as they are known, their levels, and whether that is far enough."""
     level = levels[_slots(tokens, mask)]
@@ -170,44 +199,123 @@ def _posted(tokens: np.ndarray, n: int, levels: np.ndarray, mask: int) -> tuple[
     return t[: n - least_overlap(n) + m], m, sure
 
 
-def postings(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(token, cid, n, m) for every token of every class's prefix."""
-    levels, mask = rarity(classes)
+def prefixes(classes: DataFrame, docs: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, int]]:
+    """(cid, n, m, parities, prefix in order) of every class, and the levels of tokens in ``HOT`` prefixes or more."""
+    frequent = repeated_tokens(classes.select(F.explode("head").alias("token")), "frequent", FREQUENT)
+    levels, mask = slot_levels(frequent)
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            heads = b.column(2)
+            heads = b.column(3)
             flat, off = heads.values.to_numpy(zero_copy_only=False), heads.offsets.to_numpy()
             done = [_posted(flat[off[r] : off[r + 1]], n, shared.value, mask) for r, n in enumerate(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([m for _, m, _ in done], pa.int32()), pa.array([sure for *_, sure in done]), _lists([t if sure else t[:0] for t, _, sure in done])], names=["cid", "n", "m", "sure", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([m for _, m, _ in done], pa.int32()), b.column(2), pa.array([sure for *_, sure in done]), _lists([t if sure else t[:0] for t, _, sure in done])], names=["cid", "n", "m", "odd", "sure", "prefix"])
 
     def whole(sets: list[np.ndarray]) -> list[pa.Array]:
         done = [_posted(x.view(np.int64), len(x), shared.value, mask) if len(x) else (x, 1, True) for x in sets]
-        return [pa.array([len(x) for x in sets], pa.int32()), pa.array([m for _, m, _ in done], pa.int32()), _lists([t for t, *_ in done])]
+        return [pa.array([len(x) for x in sets], pa.int32()), pa.array([m for _, m, _ in done], pa.int32()), pa.array(map(parities, sets), pa.binary()), _lists([t for t, *_ in done])]
 
-    own = stored(classes.select("cid", F.col("n").cast("int").alias("n"), "head").mapInArrow(known, "cid long, n int, m int, sure boolean, prefix array<long>"), "prefixes")
-    out = own.filter("sure").drop("sure")
+    own = stored(classes.select("cid", F.col("n").cast("int").alias("n"), "odd", "head").mapInArrow(known, "cid long, n int, m int, odd binary, sure boolean, prefix array<long>"), "prefixes")
+    out, hot = own.filter("sure").drop("sure"), frequent
     unsure = stored(classes.select("cid", "doc_id", "key").join(own.filter("NOT sure").select("cid"), "cid", "left_semi"), "unsure")
     if not unsure.isEmpty():  # frequent tokens fill their heads: order their whole sets
-        out = out.unionByName(stored(_rehashed(docs, unsure, whole, "n int, m int, prefix array<long>"), "reordered"))
-    return out.select(F.explode("prefix").alias("token"), "cid", "n", "m")
+        again = stored(_rehashed(docs, unsure, whole, "n int, m int, odd binary, prefix array<long>").dropDuplicates(["cid"]), "reordered")
+        out = out.unionByName(again)
+        # Tokens outside the heads may be frequent there.
+        hot = hot.unionByName(repeated_tokens(again.select(F.explode("prefix").alias("token")), "hot", HOT))
+    return out, slot_levels(hot, HOT.bit_length() - 1)
+
+
+def _of_tokens(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and token of every token of a batch of prefixes."""
+    lists = b.column(4)
+    off = lists.offsets.to_numpy()
+    flat, size = lists.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]], np.diff(off)
+    row = np.repeat(np.arange(len(size)), size)
+    return row, np.arange(len(flat)) - np.repeat(off[:-1] - off[0], size), flat
 
 
 def similar_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of ids of linked classes."""
-    p = postings(classes, docs)
-    x, y = (p.select(F.col("token"), *[F.col(c).alias(c + s) for c in ("cid", "n", "m")]) for s in ("1", "2"))
-    near = F.col("n2") * 100 >= F.col("n1") * PERCENT
-    later = (F.col("n1") > F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("cid1") < F.col("cid2")))
-    pairs = x.join(y, "token").filter(near & later).groupBy("cid1", "cid2").agg(F.count("*").alias("c"), F.min(F.least("m1", "m2")).alias("m")).filter("c >= m").select("cid1", "cid2")
-    pairs = stored(pairs, "candidates")
-    ids = pairs.select(F.col("cid1").alias("cid")).union(pairs.select("cid2")).distinct()
-    wanted = stored(classes.select("cid", "doc_id", "key").join(ids, "cid", "left_semi"), "wanted")
-    return verified(pairs, stored(sets_of(docs, wanted), "sets"))
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    prefix, (hot, mask) = prefixes(classes, docs)
+    hot = docs.sparkSession.sparkContext.broadcast(hot)
+
+    schema = "key long, cid long, about long, " + ", ".join(f"{c} long" for c in ODD)
+
+    def post(larger: bool | None):
+        """(key, cid, n with place and m, parities) of prefix tokens: of those that aren't hot (None), or of hot ones.
+
+        Of a hot token, the smaller set of a pair is in one band and chunk, and the
+        larger one asks all that may hold it.
+        """
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                row, place, token = _of_tokens(b)
+                level = hot.value[_slots(token, mask)].astype(np.int64)
+                keep = (level > 0) == (larger is not None)
+                row, place, token, level = row[keep], place[keep], token[keep], level[keep]
+                odd = np.frombuffer(b"".join(b.column(3).to_pylist()), np.int64).reshape(-1, len(ODD))
+                cid, n, m = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+                if larger is not None:
+                    band = np.floor(np.log(np.maximum(n, 1)) / BAND).astype(np.int64)[row] + 1
+                    chunks = np.int64(1) << np.maximum(0, level - HOT.bit_length() + 2)
+                    if larger:  # for the set's own band and the one below, in every chunk
+                        again = np.repeat(np.arange(len(row)), 2 * chunks)
+                        turn = np.arange(len(again)) - np.repeat(2 * (np.cumsum(chunks) - chunks), 2 * chunks)
+                        row, place, token, band, chunk = row[again], place[again], token[again], band[again] - turn % 2, turn // 2
+                    else:
+                        chunk = (mix(cid.view(np.uint64)) >> np.uint64(8)).astype(np.int64)[row] % chunks
+                    token = mix(token.view(np.uint64) + mix((band << 32 | chunk).astype(np.uint64))).view(np.int64)
+                about = (n << 32 | m)[row] | place << 3
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(cid[row]), pa.array(about), *[pa.array(odd[row, k]) for k in range(len(ODD))]], names=["key", "cid", "about", *ODD])
+
+        return prefix.mapInArrow(run, schema)
+
+    part = lambda c: (F.shiftright(c, 32), F.shiftright(c, 3).bitwiseAND((1 << 29) - 1), F.col(c).bitwiseAND(7))
+    (n1, i1, m1), (n2, i2, m2) = part("about1"), part("about2")
+    near = n2 * 100 >= n1 * PERCENT
+    later = (n1 > n2) | ((n1 == n2) & (F.col("cid1") < F.col("cid2")))
+    m = F.least(m1, m2)
+    overlap = needed(n1, n2)
+    starts = (i1 < n1 - overlap + m) & (i2 < n2 - overlap + m)
+    differ = sum((F.bit_count(F.col(c + "1").bitwiseXOR(F.col(c + "2"))) for c in ODD), F.lit(0))
+    like = differ <= n1 + n2 - 2 * overlap
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        x, y = (p.select("key", *[F.col(c).alias(c + s) for c in ("cid", "about", *ODD)]) for p, s in ((x, "1"), (y, "2")))
+        return x.join(y, "key").filter(near & later & starts & like).select("cid1", "cid2", m.alias("m"))
+
+    # A hot key stands for token, band and chunk; should two of them share one, the check of whole sets drops what it brings.
+    cold = post(None)
+    found = met(cold, cold)
+    if hot.value.any():
+        found = found.unionByName(met(post(True), post(False)))
+    pairs = found.groupBy("cid1", "cid2").agg(F.count("*").alias("c"), F.min("m").alias("m")).filter("c >= m").select("cid1", "cid2")
+    pairs = stored(pairs, "candidates"); 
+    return verified(stored(alike(pairs, classes), "alike"), classes, docs)
+
+
+def alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose wide parities don't rule a link out."""
+    ids = stored(pairs.select(F.col("cid1").alias("cid")).union(pairs.select("cid2")).distinct(), "ids")
+    hit = Bloom.of(ids, "cid").test(pairs.sparkSession)
+    wide = classes.select("cid", "n", "wide").filter(hit(F.col("cid")))
+    one, two = (wide.select(*[F.col(c).alias(c + s) for c in wide.columns]) for s in ("1", "2"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(b.num_rows, -1) for k in (3, 4))
+            keep = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= b.column(2).to_numpy()
+            yield b.select([0, 1]).filter(pa.array(keep))
+
+    n1, n2 = F.col("n1"), F.col("n2")
+    both = pairs.join(one, "cid1").join(two, "cid2").select("cid1", "cid2", (n1 + n2 - 2 * needed(n1, n2)).cast("long").alias("most"), "wide1", "wide2")
+    return both.mapInArrow(run, "cid1 long, cid2 long")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (cid1, cid2) whose sets overlap enough, as (a, b).
 
     Components of candidates are cut into blocks of about ``SETS`` sets, and pairs are
@@ -221,9 +329,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one, two = (nodes.select(F.col("node").alias("cid" + s), F.col("root").alias("root" + s), F.col("cell").alias("cell" + s)) for s in ("1", "2"))
     unit = F.struct(F.col("root1").alias("root"), F.least("cell1", "cell2").alias("x"), F.greatest("cell1", "cell2").alias("y"))
     work = stored(pairs.join(one, "cid1").join(two, "cid2").select(F.xxhash64(unit).alias("unit"), "cid1", "cid2"), "work")
-    need = work.select("unit", F.col("cid1").alias("cid")).union(work.select("unit", "cid2")).distinct()
+    units = work.select("unit", F.col("cid1").alias("cid")).union(work.select("unit", "cid2")).groupBy("cid").agg(F.collect_set("unit").alias("units"))
+    wanted = stored(classes.select("cid", "doc_id", "key").join(units, "cid"), "wanted")
     none = F.lit(None)
-    rows = need.join(sets, "cid").select("unit", F.lit(0).alias("kind"), F.col("cid").alias("cid1"), none.cast("long").alias("cid2"), "tokens")
+    sets = _rehashed(docs, wanted, lambda sets: [_lists(sets)], "tokens array<long>")
+    rows = sets.select(F.explode("units").alias("unit"), F.lit(0).alias("kind"), F.col("cid").alias("cid1"), none.cast("long").alias("cid2"), "tokens")
     rows = rows.unionByName(work.select("unit", F.lit(1).alias("kind"), "cid1", "cid2", none.cast("array<long>").alias("tokens")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,21 +406,39 @@ def _forest(edges: DataFrame) -> DataFrame:
     return edges.coalesce(1).mapInArrow(run, f"node {kind}, root {kind}")
 
 
-def jaccard_join(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, n_shingles, n_similar, component_id."""
-    rows = stored(signatures(small_batches(docs)), "signatures")
-    classes = rows.filter("n > 0").groupBy("key", "n", "head").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+def classes_of(rows: DataFrame) -> DataFrame:
+    """A row per different set: cid, key, n, odd, head, doc_id (the least) and copies; only rows of repeated sets are shuffled whole."""
+    some = rows.filter("n > 0")
+    again = stored(some.groupBy("key").count().filter("count > 1").select(F.xxhash64("key").alias("k")), "repeated")
+    hit = Bloom.of(again, "k").test(rows.sparkSession)(F.xxhash64("key"))
+    cols = ["key", "n", "odd", "wide", "head"]
+    many = some.filter(hit).groupBy("key").agg(F.min("row").alias("cid"), *[F.first(c).alias(c) for c in cols[1:]], F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    return some.filter(~hit).select("key", F.col("row").alias("cid"), *cols[1:], "doc_id", F.lit(1).cast("long").alias("copies")).unionByName(stored(many, "copied"))
+
+
+def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, n, key) of every row, h its text's hash, and (key, n_similar, component_id, comp) of every set with links or copies."""
+    rows = stored(signatures(small_batches(docs)).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    classes = classes_of(rows)
     links = stored(similar_classes(classes, docs), "links")
     ends = links.union(links.select("b", "a")).toDF("cid", "other")
     weight = classes.select(F.col("cid").alias("other"), "copies")
-    linked = ends.join(weight, "other").groupBy("cid").agg(F.sum("copies").alias("others"))
+    others = ends.join(weight, "other").groupBy("cid").agg(F.sum("copies").alias("others"))
     named = components(links).join(classes.select(F.col("cid").alias("node"), "doc_id"), "node")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component"))
-    named = named.select(F.col("node").alias("cid"), "root").join(least, "root").select("cid", "component")
-    about = classes.select("cid", "key", "copies", "doc_id").join(linked, "cid", "left").join(named, "cid", "left").select("key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"), F.coalesce("component", "doc_id").alias("component_id"))
-    special = stored(about.filter("n_similar > 0"), "linked")
-    return rows.select("doc_id", "n", "key").join(special, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = named.select(F.col("node").alias("cid"), "root").join(least, "root").select("cid", "root", "component")
+    about = classes.select("cid", "key", "copies", "doc_id").join(others, "cid", "left").join(named, "cid", "left")
+    about = about.select("key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_similar"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("root", "cid").alias("comp"))
+    return rows.select("doc_id", "h", "n", "key"), stored(about.filter("n_similar > 0"), "linked")
+
+
+def jaccard_join(docs: DataFrame) -> DataFrame:
+    """A row per document: doc_id, n_shingles, n_similar, component_id."""
+    rows, special = linked(docs)
+    rows = rows.withColumnRenamed("n", "n_shingles")
+    none = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.lit(0).cast("long").alias("n_similar"), F.col("doc_id").alias("component_id"))
+    some = rows.filter("n_shingles > 0").join(special, "key", "left")
+    return some.select("doc_id", "n_shingles", F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(none)
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:

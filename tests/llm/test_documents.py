@@ -202,6 +202,23 @@ def test_jaccard_join_with_shared_passages_and_large_groups(spark, monkeypatch):
     assert sorted(got) == sorted(brute_jaccard(pairs))
 
 
+def test_hot_tokens_are_split_and_no_link_is_lost(spark, monkeypatch):
+    rng = random.Random(19)
+    monkeypatch.setattr(jaccard, "HOT", 8)
+    pairs = []
+    for g in range(6):  # groups of linked texts of all sizes, whose tokens are all hot
+        core = ["g%d_%d" % (g, k) for k in range(rng.choice([1, 4, 7, 30, 100, 300]))]
+        for i in range(60):
+            w = core + ["g%d_e%d" % (g, k) for k in range(rng.randrange(1 + len(core) // 6))]
+            if w and rng.random() < 0.5:
+                w[rng.randrange(len(w))] = "o%d" % rng.randrange(4)
+            pairs.append((len(pairs), " ".join(w)))
+    docs = spark.createDataFrame(pairs, "doc_id long, text string")
+    got = [tuple(r) for r in jaccard.jaccard_join(docs).collect()]
+    want = brute_jaccard(pairs)
+    assert sorted(got) == sorted(want) and sum(w[2] for w in want) > 1000
+
+
 def test_components_in_rounds(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(500, 540)]
