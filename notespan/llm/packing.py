@@ -23,12 +23,14 @@ empty table gives no pieces. Other columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,62 +38,80 @@ from .common import partitions, small_batches, stored
 
 LENGTH, END, BANDS, DEGREE = 2048, 1, 8, 4
 GROUP, BIN = 16384, 4096
-CACHE = 250_000
+#: Bytes of texts that are encoded together.
+TOGETHER = 8 << 20
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, BANDS, dtype=np.uint64) | np.uint64(1)
 
 
-class Encoder:
-    """The ids of a byte-level BPE file, by way of a cache of space-separated parts.
+#: A part with white space at an edge, or with characters that two libraries may class differently.
+_ODD = "^[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}]|[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}]$|[^\\x{00}-\\x{23f}]|^$"
+
 
-    The vocabulary's split never joins characters across a single space with text
-    on both sides, so a text without other leading, trailing or double white space
-    in its parts is the sequence of its parts' ids. All else is encoded whole.
+class Encoder:
+    """The ids of a byte-level BPE file; of a batch, every different space-separated part is encoded once.
+
+    The vocabulary's split never joins characters across a single space with text on
+    both sides, so a text without other white space at the edges of its parts is the
+    sequence of its parts' ids, and so is a text of all different parts, whose ids are
+    told apart by the spaces that begin them. Where two libraries may class characters
+    differently (from U+0240 on), and where a text holds a special string, the file's
+    own tokenizer encodes it whole.
     """
 
     def __init__(self, name: str = "byte_bpe_50k"):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+        self.file = public_tokenizers.path(f"{name}.json")
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        with open(self.file) as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         self.ranks = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.parts: dict[str, bytes | None] = {}
-
-    def _all(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-
-    def _part(self, part: str) -> bytes | None:
-        """Ids of a part after a space; None if it has white space at an edge."""
-        if not part or part[0].isspace() or part[-1].isspace():
-            found = None
-        elif max(part) < "ɐ":
-            found = np.array(self.ranks.encode_ordinary(" " + part), "<u2").tobytes()
-        else:
-            found = self._all(" " + part)
-        if len(self.parts) >= CACHE:
-            self.parts.clear()
-        self.parts[part] = found
-        return found
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian 16-bit ids."""
-        if not text:
-            return b""
-        if any(t in text for t in self.special):
-            return self._all(text)
-        parts = text.split(" ")
-        first = parts[0]
-        if not first or first[0].isspace() or first[-1].isspace():
-            return self._all(text)
-        get, own = self.parts.get, self._part
-        out = [get(p) or own(p) for p in parts[1:]]
-        if None in out:
-            return self._all(text)
-        head = np.array(self.ranks.encode_ordinary(first), "<u2").tobytes() if max(first) < "ɐ" else self._all(first)
-        return head + b"".join(out)
+        self.spaced = np.zeros(1 << 16, bool)
+        self.spaced[[i for t, i in ranks.items() if t[:1] == b" "]] = True
+        self.whole = None
+
+    def encode(self, text: str) -> np.ndarray:
+        """16-bit ids of one text."""
+        if (text.isascii() or max(text) < "\u0240") and not any(t in text for t in self.special):
+            return np.array(self.ranks.encode_ordinary(text), "<u2")
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.file)
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2")
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of every text of a batch; null is empty."""
+        texts = texts.fill_null("")
+        split = pc.split_pattern(texts, " ")
+        coded = split.values.dictionary_encode()
+        odd = pc.match_substring_regex(coded.dictionary, _ODD)
+        for t in self.special:
+            odd = pc.or_(odd, pc.match_substring(coded.dictionary, t))
+        odd = odd.to_numpy(zero_copy_only=False)
+        good = np.flatnonzero(~odd)
+        parts = coded.dictionary.take(pa.array(good))
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(parts)], parts), " ")[0].as_py()
+        every = np.array(self.ranks.encode_ordinary(" " + joined), "<u2") if len(good) else np.zeros(0, "<u2")
+        heads = np.flatnonzero(self.spaced[every])
+        off, at = split.offsets.to_numpy(), coded.indices.to_numpy()
+        whole = np.logical_or.reduceat(odd[at], off[:-1])
+        # A text's first part has no space before it, and is encoded for itself.
+        first = [self.encode(w) for w in split.values.take(pa.array(off[:-1])).to_pylist()]
+        size = np.zeros(len(odd) + len(first), np.int64)
+        start = np.zeros(len(size), np.int64)
+        size[good], start[good] = np.diff(heads, append=len(every)), heads
+        size[len(odd) :] = [len(x) for x in first]
+        start[len(odd) :] = len(every) + np.cumsum(size[len(odd) :]) - size[len(odd) :]
+        at = at.copy()
+        at[off[:-1]] = len(odd) + np.arange(len(first))
+        n = size[at]
+        ends = np.cumsum(n)
+        flat = np.concatenate([every, *first])[np.repeat(start[at] - (ends - n), n) + np.arange(ends[-1])]
+        stops = np.concatenate([[0], ends])[off]
+        return [self.encode(texts[k].as_py()) if whole[k] else flat[stops[k] : stops[k + 1]] for k in range(len(texts))]
 
 
 _encoder: Encoder | None = None
@@ -103,25 +123,41 @@ def encoder() -> Encoder:
     return _encoder
 
 
-def signature(ids: np.ndarray) -> bytes:
-    """Minimum hashes of the pairs of neighbouring ids (of the one id, if there is one)."""
-    pairs = ids[:-1].astype(np.uint64) << np.uint64(16) | ids[1:].astype(np.uint64) if len(ids) > 1 else ids.astype(np.uint64)
+def signatures(ids: list[np.ndarray]) -> list[bytes]:
+    """Minimum hashes of each document's pairs of neighbouring ids (of the one id, if there is one)."""
+    firsts = [x[:-1] if len(x) > 1 else np.zeros(1, "<u2") for x in ids]
+    flat, sizes = np.concatenate(firsts).astype(np.uint64), [len(x) for x in firsts]
+    pairs = flat << np.uint64(16) | np.concatenate([x[1:] if len(x) > 1 else x for x in ids]).astype(np.uint64)
     pairs = (pairs + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     pairs ^= pairs >> np.uint64(29)
-    return b"".join(int(((pairs * s) >> np.uint64(32)).min()).to_bytes(4, "big") for s in _SEEDS)
+    starts = np.cumsum([0, *sizes[:-1]])
+    least = np.stack([np.minimum.reduceat(pairs * s, starts) for s in _SEEDS], axis=1)
+    return [x.tobytes() for x in (least >> np.uint64(32)).astype(">u4")]
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
     """doc_id, row (unique), n, ids (binary), sig (binary); stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(), END.to_bytes(2, "little")
+        enc, end = encoder(), np.array([END], "<u2")
+
+        def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            texts = enc.encode_all(pa.concat_arrays([b.column(1) for b in held]))
+            doc_id = pa.concat_arrays([b.column(0) for b in held])
+            for lo in range(0, len(texts), 1000):
+                ids = [np.concatenate([x, end]) for x in texts[lo : lo + 1000]]
+                yield pa.RecordBatch.from_arrays([doc_id.slice(lo, len(ids)), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(signatures(ids), pa.binary())], names=["doc_id", "n", "ids", "sig"])
+
+        # Several batches have more parts in common than one has.
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
-                ids = [enc.encode(t or "") + end for t in part.column(1).to_pylist()]
-                sig = [signature(np.frombuffer(x, "<u2")) for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n", "ids", "sig"])
+            if b.num_rows:
+                held.append(b)
+            if sum(x.nbytes for x in held) >= TOGETHER:
+                yield from done(held)
+                held = []
+        if held:
+            yield from done(held)
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, ids binary, sig binary")
     return stored(out.withColumn("row", F.monotonically_increasing_id()), "ids")
