@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -128,8 +129,126 @@ def segments(text: str) -> Spans:
         yield at, len(text)
 
 
+# Plain words, Unicode words and lines are cut in whole Arrow batches, byte by byte of their UTF-8 form.
+
+_ASCII_GAP = np.zeros(256, bool)
+_ASCII_GAP[[9, 10, 12, 13, 32]] = True
+_ASCII_SPACE = np.zeros(256, bool)
+_ASCII_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_BATCH = 1 << 22
+
+
+def _utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all rows one after another, and where each begins and the last ends; null is empty."""
+    column = column.cast(pa.large_string()).fill_null("")
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, off - off[0]
+
+
+def _unicode_space(raw: np.ndarray) -> np.ndarray:
+    """Bytes of white space in Unicode's sense."""
+    out = _ASCII_SPACE[raw]
+    if len(raw) and raw.max() > 0xC1:
+        a, b = raw[:-1], raw[1:]
+        at = np.flatnonzero((a == 0xC2) & ((b == 0x85) | (b == 0xA0)))
+        out[at] = out[at + 1] = True
+        a, b, c = raw[:-2], raw[1:-1], raw[2:]
+        wide = (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE3) & (b == 0x80) & (c == 0x80) | (a == 0xE2) & (b == 0x81) & (c == 0x9F)
+        wide |= (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+        at = np.flatnonzero(wide)
+        out[at] = out[at + 1] = out[at + 2] = True
+    return out
+
+
+def _runs(full: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end byte of every run of ``full`` bytes; no run crosses an edge."""
+    cut = np.zeros(len(full) + 1, bool)
+    cut[edges] = True
+    before, after = np.concatenate([[False], full[:-1]]), np.concatenate([full[1:], [False]])
+    return np.flatnonzero(full & (~before | cut[:-1])), np.flatnonzero(full & (~after | cut[1:])) + 1
+
+
+def _strings(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Array:
+    """The byte ranges, in order and apart from one another, as strings."""
+    step = np.zeros(len(raw) + 1, np.int8)
+    step[first] += 1
+    step[last] -= 1  # a range that begins where another ends
+    offsets = np.zeros(len(first) + 1, np.int32)
+    np.cumsum(last - first, out=offsets[1:])
+    return pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(raw[np.cumsum(step[:-1], dtype=np.int8).view(bool)] if len(raw) else raw))
+
+
+def _points(raw: np.ndarray) -> np.ndarray:
+    """Number of code points before each byte."""
+    out = np.zeros(len(raw) + 1, np.int32)
+    np.cumsum((raw & 0xC0) != 0x80, out=out[1:])
+    return out
+
+
+def _parts(b: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Ids, bytes and row ends of parts of a batch of about ``_BATCH`` bytes."""
+    raw, ends = _utf8(b.column(1))
+    lo = 0
+    while lo < b.num_rows:
+        hi = min(max(int(np.searchsorted(ends, ends[lo] + _BATCH, "right")) - 1, lo + 1), b.num_rows)
+        yield b.column(0).slice(lo, hi - lo), raw[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo]
+        lo = hi
+
+
+def _numbers(row: np.ndarray) -> np.ndarray:
+    """Each element's number among those of its row, for rows in order."""
+    return np.arange(len(row)) - np.searchsorted(row, row) if len(row) else row
+
+
+def _word_batch(ids: pa.Array, raw: np.ndarray, ends: np.ndarray, unicode: bool) -> pa.RecordBatch:
+    first, last = _runs(~(_unicode_space(raw) if unicode else _ASCII_GAP[raw]), ends)
+    row, point = np.searchsorted(ends, first, "right") - 1, _points(raw)
+    base = point[ends[row]]
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(_numbers(row).astype(np.int32)), pa.array(point[first] - base), pa.array(point[last] - base), _strings(raw, first, last)], names=["doc_id", "tok_id", "start", "end", "text"])
+
+
+def _line_batch(ids: pa.Array, raw: np.ndarray, ends: np.ndarray, unicode: bool) -> pa.RecordBatch:
+    space = _unicode_space(raw)
+    # A line runs to its break, or to the text's end; it is kept without white space at its edges.
+    begins, stops = _runs(~space, ends)
+    line = np.concatenate([[0], np.cumsum(raw == 10)])[begins] if len(raw) else begins
+    row = np.searchsorted(ends, begins, "right") - 1
+    head = np.ones(len(begins), bool)
+    head[1:] = (line[1:] != line[:-1]) | (row[1:] != row[:-1])
+    tail = np.concatenate([head[1:], [True]]) if len(head) else head
+    first, last, row = begins[head], stops[tail], row[head]
+    point = _points(raw)
+    base = point[ends[row]]
+    if unicode:
+        a, z = begins, stops
+    else:
+        inside = np.zeros(len(raw) + 1, np.int8)
+        np.add.at(inside, first, 1)
+        np.add.at(inside, last, -1)
+        a, z = _runs(~_ASCII_GAP[raw] & (np.cumsum(inside[:-1]) > 0), np.unique(np.concatenate([ends, first, last])))
+    of = np.searchsorted(first, a, "right") - 1
+    shift = base[of]
+    struct = pa.StructArray.from_arrays([pa.array(point[a] - shift), pa.array(point[z] - shift), _strings(raw, a, z)], ["start", "end", "text"])
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(first) + 1)).astype(np.int32)), struct)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(_numbers(row).astype(np.int32)), pa.array(point[first] - base), pa.array(point[last] - base), _strings(raw, first, last), lists], names=["doc_id", "sent_id", "start", "end", "text", "tokens"])
+
+
+def _vectorised(docs: DataFrame, each: Callable, unicode: bool, schema: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, raw, ends in _parts(b):
+                yield each(ids, raw, ends, unicode)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
 def tokens(docs: DataFrame, words: Callable[[str], Spans] = plain_words) -> DataFrame:
     """doc_id, tok_id, start, end, text of every token."""
+    schema = "doc_id long, tok_id int, start int, end int, text string"
+    if words in (plain_words, unicode_words):
+        return _vectorised(docs, _word_batch, words is unicode_words, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,11 +262,14 @@ def tokens(docs: DataFrame, words: Callable[[str], Spans] = plain_words) -> Data
                 text += [t[s:e] for s, e in spans]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(text, pa.string())], names=["doc_id", "tok_id", "start", "end", "text"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, tok_id int, start int, end int, text string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def sentences(docs: DataFrame, split: Callable[[str], Spans] = line_sentences, words: Callable[[str], Spans] = plain_words) -> DataFrame:
     """doc_id, sent_id, start, end, text and tokens (array of start, end, text) of every sentence."""
+    schema = f"doc_id long, sent_id int, start int, end int, text string, tokens array<struct<{TOKEN}>>"
+    if split is line_sentences and words in (plain_words, unicode_words):
+        return _vectorised(docs, _line_batch, words is unicode_words, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,7 +281,7 @@ def sentences(docs: DataFrame, split: Callable[[str], Spans] = line_sentences, w
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), _TOKENS))], names=["doc_id", "sent_id", "start", "end", "text", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, sent_id int, start int, end int, text string, tokens array<struct<{TOKEN}>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def sentence_tokens(sents: DataFrame) -> DataFrame:
