@@ -59,18 +59,35 @@ def first_at(labels: DataFrame, others: DataFrame, *order: str) -> DataFrame:
 
 def backward(labels: DataFrame, others: DataFrame, most: int | None = None) -> DataFrame:
     """Pairs with labels that end before, ranked from the nearest (rank 0)."""
-    return _ranked(labels, others, F.col("r_end") <= F.col("start"), [F.desc("r_end"), F.desc("r_start")], most)
+    n, i = F.col("_n"), F.col("_i")
+    return _near(labels, others, ["r_end", "r_start"], F.col("start"), 0, most, lambda m: (F.greatest(n - m, F.lit(0)), n - 1) if m else (F.lit(0), n - 1), n - 1 - i)
 
 
 def forward(labels: DataFrame, others: DataFrame, most: int | None = None) -> DataFrame:
     """Pairs with labels that start after, ranked from the nearest (rank 0)."""
-    return _ranked(labels, others, F.col("r_start") >= F.col("end"), [F.col("r_start"), F.col("r_end")], most)
-
-
-def _ranked(labels: DataFrame, others: DataFrame, on: Column, order: list[Column], most: int | None) -> DataFrame:
-    w = Window.partitionBy("doc_id", "start", "end").orderBy(*order)
-    out = _joined(labels, others, on, None).withColumn("rank", F.row_number().over(w) - 1)
-    return out if most is None else out.filter(F.col("rank") < most)
+    n, i, top = F.col("_n"), F.col("_i"), F.col("_all")
+    return _near(labels, others, ["r_start", "r_end"], F.col("end"), 1, most, lambda m: (n, F.least(n + m, top) - 1) if m else (n, top - 1), i - n)
+
+
+def _near(labels: DataFrame, others: DataFrame, order: list[str], edge: Column, first: int, most: int | None, span, rank: Column) -> DataFrame:
+    """Others are numbered in their document's order; a label counts those on its near side and meets only the numbers it asks for.
+
+    One ordered window over both tables, then an equi-join, so no pairs are made that
+    aren't returned. ``first`` puts labels before (0: counts others up to the edge) or
+    behind others at the same place.
+    """
+    r = others.select(*[F.col(c).alias(f"r_{c}") for c in others.columns])
+    number = Window.partitionBy("r_doc_id").orderBy(*order)
+    r = r.withColumn("_i", F.row_number().over(number) - 1)
+    marks = labels.select("doc_id", edge.alias("_at"), F.lit(1 - first).alias("_k"), F.lit(0).alias("_o"), F.struct(*labels.columns).alias("_l"))
+    both = marks.unionByName(r.select(F.col("r_doc_id").alias("doc_id"), F.col(order[0]).alias("_at"), F.lit(first).alias("_k"), F.lit(1).alias("_o"), F.lit(None).cast(marks.schema["_l"].dataType).alias("_l")))
+    doc = Window.partitionBy("doc_id")
+    before = F.sum("_o").over(doc.orderBy("_at", "_k").rangeBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")
+    lab = both.withColumn("_n", before).withColumn("_all", F.sum("_o").over(doc).cast("int")).filter("_o = 0").select("_l.*", "_n", "_all")
+    lo, hi = span(most)
+    asked = lab.filter(lo <= hi).withColumn("_j", F.explode(F.sequence(lo, hi)))
+    out = asked.join(r, (F.col("doc_id") == F.col("r_doc_id")) & (F.col("_j") == F.col("_i")))
+    return out.withColumn("rank", rank.cast("int")).drop("_n", "_all", "_j", "_i")
 
 
 def first(labels: DataFrame, *group: str) -> DataFrame:
