@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,24 +27,25 @@ def tagged_sentences(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list(t)).alias("tokens"))
 
 
-def windows(sents: DataFrame, size: int = WINDOW) -> DataFrame:
-    """CON1: doc_id, sent_id, start, end, words (structs) of runs of 1 to ``size`` tokens whose first and last may begin and end a concept."""
-    fit = lambda t: ~(is_stopword(t["norm"]) | is_punct_text(t["text"]) | is_trivial(t["tag"]))
+def _fit(t: Column) -> Column:
+    """CON1: whether a token may begin or end a concept."""
+    return ~(is_stopword(t["norm"]) | is_punct_text(t["text"]) | is_trivial(t["tag"]))
+
+
+def _ends(size: int) -> tuple[Column, Column]:
+    """Places (from 1) where windows begin, and a function's column of those where one that begins at i ends."""
     n = F.size("tokens")
     at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    begin = F.filter(at, lambda i: fit(F.element_at("tokens", i)))
-    last = lambda i: F.filter(F.sequence(i, F.least(i + size - 1, n)), lambda j: fit(F.element_at("tokens", j)))
-    runs = F.flatten(F.transform(begin, lambda i: F.transform(last(i), lambda j: F.slice(F.col("tokens"), i, j - i + 1))))
-    run = sents.select("doc_id", "sent_id", F.explode(runs).alias("words"))
-    return run.select("doc_id", "sent_id", F.get("words", F.lit(0))["start"].alias("start"), F.element_at("words", -1)["end"].alias("end"), "words")
+    begin = F.filter(at, lambda i: F.element_at("fit", i))
+    return begin, lambda i: F.filter(F.sequence(i, F.least(i + size - 1, n)), lambda j: F.element_at("fit", j))
 
 
-def _phrase(words: Column, text: Column, form: str) -> Column:
-    """The words with the gaps between them, as in the document (blanks for any gap): by text or by expansion."""
-    word = lambda w: F.coalesce(w["expansion"], w["text"]) if form == "expansion" else w["text"]
-    gap = lambda a, w: F.when(a["end"] >= 0, F.repeat(F.lit(" "), F.least(F.lit(1), F.greatest(F.lit(0), w["start"] - a["end"])))).otherwise("")
-    step = lambda a, w: F.struct(F.concat(a["s"], gap(a, w), word(w)).alias("s"), w["end"].alias("end"))
-    return F.aggregate(words, F.struct(F.lit("").alias("s"), F.lit(-1).alias("end")), step)["s"]
+def windows(sents: DataFrame, size: int = WINDOW) -> DataFrame:
+    """CON1: doc_id, sent_id, start, end, words (structs) of runs of 1 to ``size`` tokens whose first and last may begin and end a concept."""
+    begin, last = _ends(size)
+    runs = F.flatten(F.transform(begin, lambda i: F.transform(last(i), lambda j: F.slice(F.col("tokens"), i, j - i + 1))))
+    run = sents.withColumn("fit", F.transform("tokens", _fit)).select("doc_id", "sent_id", F.explode(runs).alias("words"))
+    return run.select("doc_id", "sent_id", F.get("words", F.lit(0))["start"].alias("start"), F.element_at("words", -1)["end"].alias("end"), "words")
 
 
 def bag_key(norms: Column) -> Column:
@@ -50,25 +53,61 @@ def bag_key(norms: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(norms, lambda x: ~x.isin(*STOPWORDS) & ~is_punct_text(x))), " ")
 
 
+def window_keys(sents: DataFrame, size: int = WINDOW) -> DataFrame:
+    """doc_id, sent_id, start, end, n, tier, kind, key: all that is looked up for a window, made in one pass.
+
+    Tier 0 is the words with the gaps between them (a blank for any gap), tier 1 the
+    same with acronyms expanded, each as it is and in lower case; tier 2 the norm bag.
+    Words are joined to their gaps once a sentence, and windows are slices of strings.
+    """
+    gap = lambda t, i: F.when(i == 0, "").otherwise(F.repeat(F.lit(" "), F.least(F.lit(1), F.greatest(F.lit(0), t["start"] - F.get("tokens", i - 1)["end"]))))
+    full = lambda t: F.coalesce(t["expansion"], t["text"])
+    one = sents.select(
+        "doc_id",
+        "sent_id",
+        "tokens",
+        F.transform("tokens", _fit).alias("fit"),
+        F.transform("tokens", lambda t, i: F.concat(gap(t, i), t["text"])).alias("words"),
+        F.when(F.exists("tokens", lambda t: t["expansion"].isNotNull()), F.transform("tokens", lambda t, i: F.concat(gap(t, i), full(t)))).alias("longer"),
+        F.transform("tokens", lambda t: F.when(~t["norm"].isin(*STOPWORDS) & ~is_punct_text(t["norm"]), t["norm"])).alias("norms"),
+    )
+    begin, last = _ends(size)
+    word = lambda i: F.element_at("tokens", i)
+
+    def run(i: Column, j: Column) -> Column:
+        n = j - i + 1
+        rest = lambda c: F.array_join(F.slice(F.col(c), i + 1, n - 1), "")
+        expanded = F.exists(F.slice("tokens", i, n), lambda t: t["expansion"].isNotNull())
+        bag = F.array_join(F.array_sort(F.array_compact(F.slice("norms", i, n))), " ")
+        return F.struct(
+            word(i)["start"].alias("start"),
+            word(j)["end"].alias("end"),
+            n.alias("n"),
+            F.concat(word(i)["text"], rest("words")).alias("text"),
+            F.when(F.col("longer").isNotNull() & expanded, F.concat(full(word(i)), rest("longer"))).alias("longer"),
+            F.when((n >= 2) & (word(j)["tag"] != "CD"), bag).alias("bag"),
+        )
+
+    runs = F.flatten(F.transform(begin, lambda i: F.transform(last(i), lambda j: run(i, j))))
+    w = one.select("doc_id", "sent_id", F.explode(runs).alias("w")).select("doc_id", "sent_id", "w.*")
+    keys = [(0, "phrase", F.col("text")), (0, "lower", F.lower("text")), (1, "phrase", F.col("longer")), (1, "lower", F.lower("longer")), (2, "norm", F.col("bag"))]
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(k).alias("kind"), c.alias("key")) for t, k, c in keys])).alias("k")
+    return w.select("doc_id", "sent_id", "start", "end", "n", each).select("doc_id", "sent_id", "start", "end", "n", "k.*").filter("key IS NOT NULL")
+
+
 def detect_concepts(sents: DataFrame, dictionary: dict[str, DataFrame], sources: DataFrame | None = None, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """CON1 to CON8: (concepts, terms) of ``tagged_sentences``.
 
     ``dictionary``: tables phrase, lower and norm of key and ``CONCEPT`` columns.
     Per span, exact and lower-case hits, else hits with acronyms expanded, else hits
     of the norm bag. A lone token with a lower-case hit only is a term without
-    concept, and keeps later tiers out (Q4).
+    concept, and keeps later tiers out (Q4). All kinds are looked up by one join.
     """
-    keyed = windows(sents, size).withColumn("n", F.size("words"))
-    text = _phrase(F.col("words"), F.col("n"), "text")
-    expanded = F.when(F.exists("words", lambda w: w["expansion"].isNotNull()), _phrase(F.col("words"), F.col("n"), "expansion"))
-    bag = F.when((F.col("n") >= 2) & (F.element_at("words", -1)["tag"] != "CD"), bag_key(F.transform("words", lambda w: w["norm"])))
-    keyed = keyed.select("doc_id", "sent_id", "start", "end", "n", F.explode(F.array(F.struct(F.lit(0).alias("tier"), text.alias("key")), F.struct(F.lit(1).alias("tier"), expanded.alias("key")), F.struct(F.lit(2).alias("tier"), bag.alias("key")))).alias("k")).select("doc_id", "sent_id", "start", "end", "n", "k.tier", "k.key").filter("key IS NOT NULL")
-    place = ["doc_id", "sent_id", "start", "end", "n", "tier"]
-    exact = keyed.filter("tier < 2").join(sized(dictionary["phrase"]), "key").select(*place, *CONCEPT, F.lit(SCORES["phrase"]).alias("score"), F.lit(True).alias("shown"))
-    lower = keyed.filter("tier < 2").withColumn("key", F.lower("key")).join(sized(dictionary["lower"]), "key").select(*place, *CONCEPT, F.lit(SCORES["lower"]).alias("score"), (F.col("n") > 1).alias("shown"))
-    norm = keyed.filter("tier = 2").join(sized(dictionary["norm"]), "key").select(*place, *CONCEPT, F.lit(SCORES["norm"]).alias("score"), F.lit(True).alias("shown"))
+    tables = [dictionary[k].select(F.lit(k).alias("kind"), "key", *CONCEPT, F.lit(s).alias("score")) for k, s in SCORES.items()]
+    hits = window_keys(sents, size).join(sized(reduce(DataFrame.unionByName, tables)), ["kind", "key"])
+    hits = hits.select("doc_id", "sent_id", "start", "end", "n", "tier", *CONCEPT, "score", ((F.col("kind") != "lower") | (F.col("n") > 1)).alias("shown"))
     w = Window.partitionBy("doc_id", "start", "end")
-    hits = exact.unionByName(lower).unionByName(norm).withColumn("best", F.min("tier").over(w)).filter("tier = best")
+    hits = hits.withColumn("best", F.min("tier").over(w)).filter("tier = best")
     concepts = hits.filter("shown").select("doc_id", "start", "end", *CONCEPT, "score")
     if sources is not None:
         named = sources.select(F.col("source").alias("_s"), F.col("name").alias("_n"))
