@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from ..functions.text import suffixes
 from ..sources.storage import stored
 
 SUFFIX, RARE, BEAM, LEAST_TO_PRUNE = 5, 20, 2.0, 10
+#: The tables of a trained model.
+TABLES = ("uni", "bi", "tri", "lambdas", "known", "suffix")
 
 
 def _capital(text) -> F.Column:
@@ -68,14 +71,19 @@ def interpolation(counts: dict[str, DataFrame]) -> DataFrame:
 def word_counts(tagged: DataFrame, most: int | None = None) -> DataFrame:
     """TRN4: cap, word (lower case), tag, c; with ``most`` only words of at most so many occurrences."""
     c = tagged.groupBy(_capital(F.col("text")).alias("cap"), F.lower("text").alias("word"), "tag").agg(F.count("*").alias("c"))
-    if most is None:
-        return c
+    return c if most is None else rare_words(c, most)
+
+
+def rare_words(c: DataFrame, most: int) -> DataFrame:
     return c.withColumn("n", F.sum("c").over(Window.partitionBy("cap", "word"))).filter(F.col("n") <= most).drop("n")
 
 
 def known_words(tagged: DataFrame) -> DataFrame:
     """POS3: cap, word, tag, logp = log10(c(word, tag) / c(tag)) within the words of that case."""
-    c = word_counts(tagged)
+    return _known(stored(word_counts(tagged), "words"))
+
+
+def _known(c: DataFrame) -> DataFrame:
     t = c.groupBy("cap", "tag").agg(F.sum("c").alias("n"))
     return c.join(t, ["cap", "tag"]).select("cap", "word", "tag", F.log10(F.col("c") / F.col("n")).alias("logp"))
 
@@ -86,7 +94,10 @@ def suffix_model(tagged: DataFrame, most: int = RARE, length: int = SUFFIX) -> D
     A step's weight is the standard deviation of tag shares among suffixes of its
     own length (Q9), and the result doesn't depend on the order of words.
     """
-    rare = word_counts(tagged, most)
+    return _suffixes(word_counts(tagged, most), length)
+
+
+def _suffixes(rare: DataFrame, length: int) -> DataFrame:
     s = stored(rare.select("cap", "tag", "c", F.explode(suffixes(F.col("word"), length)).alias("suffix")).groupBy("cap", "suffix", "tag").agg(F.sum("c").alias("c")), "suffixes")
     n = s.groupBy("cap", "suffix").agg(F.sum("c").alias("n"))
     tags = s.filter("suffix = ''").select("cap", "tag", "c")
@@ -106,8 +117,8 @@ def suffix_model(tagged: DataFrame, most: int = RARE, length: int = SUFFIX) -> D
 
 def train(tagged: DataFrame, most: int = RARE, length: int = SUFFIX) -> dict[str, DataFrame]:
     """TRN6: all tables of the model: uni, bi, tri, lambdas, known, suffix."""
-    counts = gram_counts(tagged)
-    return mle(counts) | {"lambdas": interpolation(counts), "known": known_words(tagged), "suffix": suffix_model(tagged, most, length)}
+    counts, words = gram_counts(tagged), stored(word_counts(tagged), "words")
+    return mle(counts) | {"lambdas": interpolation(counts), "known": _known(words), "suffix": _suffixes(rare_words(words, most), length)}
 
 
 @dataclass
@@ -127,18 +138,24 @@ class Model:
     @classmethod
     def load(cls, tables: dict[str, DataFrame], most_rows: int = 5_000_000) -> "Model":
         """From the trained tables, whose rows are counted before they come to the driver."""
+        tables = {name: stored(t, name) for name, t in tables.items()}
         for name, t in tables.items():
-            if t.limit(most_rows + 1).count() > most_rows:
+            if t.count() > most_rows:
                 raise ValueError(f"table {name} has more than {most_rows} rows")
+
+        def rows(name: str, *columns: str) -> Iterator[tuple]:
+            got = tables[name].select(*columns).toArrow()
+            return zip(*(got.column(c).to_pylist() for c in columns))
+
         m = cls()
-        m.uni = {r.s3: r.p1 for r in tables["uni"].collect()}
-        m.bi = {(r.s2, r.s3): r.p2 for r in tables["bi"].collect()}
-        m.tri = {(r.s1, r.s2, r.s3): r.p3 for r in tables["tri"].collect()}
+        m.uni = dict(rows("uni", "s3", "p1"))
+        m.bi = {(b, c): p for b, c, p in rows("bi", "s2", "s3", "p2")}
+        m.tri = {(a, b, c): p for a, b, c, p in rows("tri", "s1", "s2", "s3", "p3")}
         m.lambdas = tuple(tables["lambdas"].select("l1", "l2", "l3").first())
-        for r in tables["known"].collect():
-            m.known.setdefault((r.cap, r.word), {})[r.tag] = r.logp
-        for r in tables["suffix"].collect():
-            m.suffix.setdefault((r.cap, r.suffix), {})[r.tag] = r.logp
+        for cap, word, tag, logp in rows("known", "cap", "word", "tag", "logp"):
+            m.known.setdefault((cap, word), {})[tag] = logp
+        for cap, suffix, tag, logp in rows("suffix", "cap", "suffix", "tag", "logp"):
+            m.suffix.setdefault((cap, suffix), {})[tag] = logp
         return m
 
     def transition(self, a: str, b: str, c: str) -> float:
@@ -205,20 +222,35 @@ def tag(sents: DataFrame, model: Model, beam: float = BEAM, drop_single_char_fin
     shared = sents.sparkSession.sparkContext.broadcast(model)  # bounded by Model.load
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for b in batches:
-            out: tuple[list, ...] = tuple([] for _ in range(7))
-            for doc, sent, toks in zip(*(b.column(i).to_pylist() for i in range(3))):
-                spans = [(t["start"], t["end"], t["text"]) for t in toks]
-                if spans:
-                    a, z, t = spans[-1]
+            # Columns of tokens, not a dictionary for each of them.
+            lists = b.column(2)
+            flat, off = lists.flatten(), lists.offsets.to_numpy()
+            off = off - off[0]
+            first, last, words = flat.field(0).to_pylist(), flat.field(1).to_pylist(), flat.field(2).to_pylist()
+            size, start, end, text, tags = [], [], [], [], []
+            for lo, hi in zip(off[:-1].tolist(), off[1:].tolist()):
+                a, z, w = first[lo:hi], last[lo:hi], words[lo:hi]
+                if w:
+                    t = w[-1]
                     if len(t) > 1 and t[-1] in ".!?":
-                        spans[-1:] = [(a, z - 1, t[:-1]), (z - 1, z, t[-1])]
+                        w[-1:] = [t[:-1], t[-1]]
+                        a.append(z[-1] - 1)
+                        z[-1:] = [z[-1] - 1, z[-1]]
                     elif len(t) == 1 and drop_single_char_final:
-                        spans.pop()
-                for k, ((a, z, t), g) in enumerate(zip(spans, shared.value.decode([x[2] for x in spans], beam))):
-                    for c, v in zip(out, (doc, sent, k, a, z, t, g)):
-                        c.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names="doc_id sent_id tok_id start end text tag".split())
+                        a.pop()
+                        z.pop()
+                        w.pop()
+                size.append(len(w))
+                start += a
+                end += z
+                text += w
+                tags += model.decode(w, beam)
+            row = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            at = pa.array(row)
+            cols = [b.column(0).take(at), b.column(1).take(at), pa.array(place.astype(np.int32)), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(text, pa.string()), pa.array(tags, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names="doc_id sent_id tok_id start end text tag".split())
 
     return sents.select("doc_id", "sent_id", "tokens").mapInArrow(run, "doc_id long, sent_id int, tok_id int, start int, end int, text string, tag string")
