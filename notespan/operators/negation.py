@@ -29,11 +29,23 @@ def triggers(sents: DataFrame, rules: DataFrame) -> DataFrame:
     return ngram_match(_cleaned(sents), rules).select("doc_id", "sent_id", "tok_id", "n", "start", "end", "tag")
 
 
+def _by_sentence(s: DataFrame, t: DataFrame, width: int = 1024) -> DataFrame:
+    """Terms (t_start, t_end) with the sentences (s_start, s_end, tokens) they lie in.
+
+    Places alone are joined, by buckets of positions, so that neither a long document
+    is one key nor a sentence's tokens meet terms of another; tokens come by sentence.
+    """
+    bucket = lambda c: F.floor(F.col(c) / width)
+    place = s.select("doc_id", "sent_id", "s_start", "s_end", F.explode(F.sequence(bucket("s_start"), bucket("s_end"))).alias("_b"))
+    found = t.withColumn("_b", bucket("t_start")).join(place, ["doc_id", "_b"]).filter("t_start >= s_start AND t_end <= s_end").drop("_b", "s_start", "s_end")
+    return found.join(s.drop("s_start", "s_end"), ["doc_id", "sent_id"])
+
+
 def term_tokens(sents: DataFrame, terms: DataFrame) -> DataFrame:
     """Terms with their sentence and whitespace tokens: first token at or after the start, first that ends at or after the end."""
     s = _cleaned(sents).select("doc_id", "sent_id", F.col("start").alias("s_start"), F.col("end").alias("s_end"), "tokens")
     t = terms.select("doc_id", F.col("start").alias("t_start"), F.col("end").alias("t_end"))
-    pair = s.join(t, "doc_id").filter("t_start >= s_start AND t_end <= s_end")
+    pair = _by_sentence(s, t)
     starts, ends = F.filter("tokens", lambda x: x["start"] < F.col("t_start")), F.filter("tokens", lambda x: x["end"] < F.col("t_end"))
     out = pair.select("doc_id", "sent_id", "t_start", "t_end", F.size(starts).alias("ts"), F.size(ends).alias("te"), "tokens").filter("te < size(tokens)")
     return out.select("doc_id", "sent_id", "t_start", "t_end", "ts", "te", F.coalesce(F.get("tokens", F.col("ts"))["start"], F.col("t_start")).alias("w_start"), F.get("tokens", F.col("te"))["end"].alias("w_end"))
@@ -85,7 +97,7 @@ def modifications(sents: DataFrame, terms: DataFrame, cues: DataFrame, cue_scan:
     """
     s = sents.select("doc_id", "sent_id", F.col("start").alias("s_start"), F.col("end").alias("s_end"), "tokens")
     t = terms.select("doc_id", F.col("start").alias("t_start"), F.col("end").alias("t_end"))
-    pair = s.join(t, "doc_id").filter("t_start >= s_start AND t_end <= s_end")
+    pair = _by_sentence(s, t)
     before = F.reverse(F.filter("tokens", lambda x: x["end"] <= F.col("t_start")))
     after = F.filter("tokens", lambda x: x["start"] >= F.col("t_end"))
     sides = F.array(F.struct(F.lit("left").alias("side"), before.alias("near")), F.struct(F.lit("right").alias("side"), after.alias("near")))
