@@ -94,7 +94,7 @@ def test_alignment_modes(spark):
     b = spark.createDataFrame([("medical doctor",), ("mad dog",), ("mud",), ("other",)], "longform string")
     assert acronyms.align_longforms(a, b).first().longform == "medical doctor"
     assert {r.longform for r in acronyms.align_longforms(a, b, "ties").collect()} == {"medical doctor", "mad dog"}
-    assert [r.longform for r in acronyms.align_longforms(a, b, "all").orderBy("rank").collect()] == ["mad dog", "medical doctor", "mud"]
+    assert [r.longform for r in acronyms.align_longforms(a, b, "all").orderBy("rank").collect()] == ["mad dog", "medical doctor", "mud", "other"]
 
 
 def test_letters(spark):
@@ -301,3 +301,5 @@ def test_alignment_scores_every_long_form(spark):
         for r in acronyms.align_longforms(a, b.filter("longform IN ('a', 'bc')"), mode).collect():
             got.setdefault(r.abbr, set()).add((r.longform, r.score))
         assert got == {"abc": {("bc", 1.0)}, "zz": {("bc", -8.0)} if mode == "best" else {("a", -8.0), ("bc", -8.0)}}
+    many = ["x" * k for k in range(1, 60)] + ["ab " * 40, "", "a b c"]
+    assert acronyms._align_all("abx", many, 64).tolist() == [acronyms.align("abx", n) for n in many]
