@@ -167,3 +167,26 @@ def rtf_to_text(binaries: DataFrame, column: str = "content", strict_reference:
 def format_spans(texts: DataFrame) -> DataFrame:
     """RTF14: event_id, kind, start, end."""
     return texts.select("event_id", F.explode("formats").alias("f")).select("event_id", "f.*")
+
+
+_PLAIN = re.compile(r"[^ -\[\]-z|~]")
+_WRITTEN = {"\n": "\\par ", "\t": "\\tab ", "\\": "\\\\", "{": "\\{", "}": "\\}"}
+
+
+def _escaped(m: re.Match) -> str:
+    c = m.group()
+    if c in _WRITTEN:
+        return _WRITTEN[c]
+    units = c.encode("utf-16-le", "surrogatepass")
+    return "".join(f"\\u{int.from_bytes(units[k : k + 2], 'little', signed=True)}?" for k in range(0, len(units), 2))
+
+
+def text_to_rtf(texts: DataFrame, bold: int = 0) -> DataFrame:
+    """RTF files (event_id, content) of texts, their first ``bold`` characters bold; what ``rtf_to_text`` reads back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            esc = [(_PLAIN.sub(_escaped, (t or "")[:bold]), _PLAIN.sub(_escaped, (t or "")[bold:])) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([("{\\rtf1\\ansi {\\fonttbl{\\f0 Arial;}}{\\b " + x + "}" + y + "}").encode("ascii") for x, y in esc], pa.binary())], names=["event_id", "content"])
+
+    return texts.select(F.col("event_id").cast("string").alias("event_id"), "text").mapInArrow(run, "event_id string, content binary")
