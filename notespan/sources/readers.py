@@ -36,9 +36,16 @@ def read_binary(spark: SparkSession, path: str, glob: str = "*.rtf") -> DataFram
     return files.select(event_id(path).alias("event_id"), "content").dropDuplicates(["event_id"])
 
 
-def read_table(spark: SparkSession, url: str, query: str = "SELECT NAME, TEXT FROM DOCUMENTS", **options: str) -> DataFrame:
-    """SRC6, SRC7: rows of a database query over JDBC; BLOB columns come as binary."""
-    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+def read_table(spark: SparkSession, url: str, query: str = "SELECT NAME, TEXT FROM DOCUMENTS", part: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
+    """SRC6, SRC7: rows of a database query over JDBC; BLOB columns come as binary.
+
+    ``part`` (column, lowest, highest, number) reads so many ranges of a numeric column at once.
+    """
+    if part is None:
+        return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+    column, low, high, number = part
+    split = {"partitionColumn": column, "lowerBound": low, "upperBound": high, "numPartitions": number}
+    return spark.read.format("jdbc").options(url=url, dbtable=f"({query}) part", **split, **options).load()
 
 
 def from_text(spark: SparkSession, text: str, name: str = "stdin") -> DataFrame:
@@ -134,9 +141,23 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return dense_ids(rows, "word", "word_id", 1)
 
 
-def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """SRC24: serialised events."""
-    return spark.read.schema(schema).json(path)
+def read_events(spark: SparkSession, path: str, schema: str, kind: str = "json") -> DataFrame:
+    """SRC24: serialised events, json by line or file, or a folder of yml or pickle files (of pickles only what was written here)."""
+    if kind == "json":
+        return spark.read.schema(schema).json(path, recursiveFileLookup=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import json
+        import pickle
+
+        import yaml
+
+        for b in batches:
+            values = [pickle.loads(x) if kind == "pickle" else yaml.safe_load(x) for x in b.column(0).to_pylist()]
+            yield pa.record_batch({"json": pa.array([json.dumps(v) for v in values], pa.string())})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{kind}").load(path)
+    return files.select("content").mapInArrow(run, "json string").select(F.from_json("json", schema).alias("e")).select("e.*")
 
 
 # Corpora, from documents (doc_id, text)

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import pickle
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -23,6 +30,49 @@ def write_json(events: DataFrame, path: str) -> None:
     events.select(F.col("json").alias("value")).write.text(path)
 
 
+FORMATS = ("json", "yml", "pickle")
+
+
+def _encoded(json_text: str, kind: str) -> bytes:
+    if kind == "json":
+        return json_text.encode()
+    value = json.loads(json_text)
+    if kind == "pickle":
+        return pickle.dumps(value)
+    import yaml
+
+    return yaml.safe_dump(value, allow_unicode=True, sort_keys=False).encode()
+
+
+def write_files(rows: DataFrame, path: str, kind: str = "txt", column: str = "text") -> int:
+    """SNK1, SNK2: a file ``<event_id>.<kind>`` below ``path`` for every row; the number of files.
+
+    ``kind`` json, yml or pickle takes ``column`` as JSON. Tasks write under another
+    name and rename, so a task that runs again leaves whole files only. Any file system
+    that Arrow knows by its address will do.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if "://" not in path and not path.startswith("file:"):
+            files, base = fs.LocalFileSystem(), path
+        else:
+            files, base = fs.FileSystem.from_uri(path)
+        done = 0
+        for b in batches:
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                parts = [x for x in str(name).split("/") if x not in ("", ".", "..")]
+                target = "/".join([base.rstrip("/"), *parts]) + f".{kind}"
+                files.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                part = f"{target}.{uuid.uuid4().hex}"
+                with files.open_output_stream(part, compression=None) as f:
+                    f.write(_encoded(text, kind) if kind in FORMATS else (text or "").encode())
+                files.move(part, target)
+                done += 1
+        yield pa.record_batch({"n": pa.array([done], pa.int64())})
+
+    return rows.select("event_id", column).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_texts(texts: DataFrame, path: str, column: str = "text") -> None:
     """SNK2, SNK8: a folder an event, one line or text each."""
     texts.select("event_id", F.col(column).alias("value")).write.partitionBy("event_id").text(path)

@@ -12,18 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.readers import event_id
+
 
 def stream_texts(spark: SparkSession, path: str, glob: str = "*.txt", files_per_batch: int = 1000) -> DataFrame:
     """SRC3: event_id, text of each new file."""
     files = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).load(path)
-    return files.select(F.col("_metadata.file_path").alias("event_id"), F.col("value").alias("text"))
+    return files.select(event_id(path).alias("event_id"), F.col("value").alias("text"))
 
 
 def stream_binary(spark: SparkSession, path: str, glob: str = "*.rtf", files_per_batch: int = 1000) -> DataFrame:
     """SRC4."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).load(path)
-    return files.select(F.col("path").alias("event_id"), "content")
+    return files.select(event_id(path).alias("event_id"), "content")
 
 
 def run(stream: DataFrame, stage: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
