@@ -224,10 +224,10 @@ def section_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_STOK}, g AS (SELECT {_CLEAN.format("text")} AS a, lead({_CLEAN.format("text")}) OVER (PARTITION BY doc_id, sent_id ORDER BY tok_id) AS b FROM stok)
-SELECT a || ' ' || b AS gram, count(*) AS n FROM g WHERE b IS NOT NULL AND a = 'the' GROUP BY ALL""")
+SELECT a || ' ' || b AS gram, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY ALL""")
 def bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of two words that begin with one."""
-    g = tokens.ngrams(tokens.sentences(docs(spark, sf_dir)), 2, T.trigger_word, lambda w: w == "the")
+    """All runs of two words."""
+    g = tokens.ngrams(tokens.sentences(docs(spark, sf_dir)), 2, T.trigger_word)
     return g.filter("n = 2").groupBy("gram").agg(F.count("*").alias("n"))
 
 
@@ -435,11 +435,11 @@ def source_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terminology(spark, sf_dir)["sources"]
 
 
-_INFL = """SELECT doc_id * 100000 + tok_id AS line, text AS variant, CASE len(text) % 3 WHEN 0 THEN 'noun' WHEN 1 THEN 'verb' ELSE 'adj' END AS category, CASE len(text) % 6 WHEN 0 THEN 'count(thr_plur)' WHEN 3 THEN 'uncount(thr_sing)' WHEN 1 THEN 'past' WHEN 4 THEN 'pres(thr_sing)' WHEN 2 THEN 'comparative' ELSE 'positive' END AS agreement, substr(text, 1, len(text) // 2 + 1) AS base FROM tok WHERE len(text) > 2 AND doc_id % 10 = 0"""
+_INFL = """SELECT doc_id * 100000 + tok_id AS line, text AS variant, CASE len(text) % 3 WHEN 0 THEN 'noun' WHEN 1 THEN 'verb' ELSE 'adj' END AS category, CASE len(text) % 6 WHEN 0 THEN 'count(thr_plur)' WHEN 3 THEN 'uncount(thr_sing)' WHEN 1 THEN 'past' WHEN 4 THEN 'pres(thr_sing)' WHEN 2 THEN 'comparative' ELSE 'positive' END AS agreement, substr(text, 1, len(text) // 2 + 1) AS base FROM tok WHERE len(text) > 2"""
 
 
 def inflections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tokens.tokens(docs(spark, sf_dir).filter("doc_id % 10 = 0")).filter("length(text) > 2")
+    t = tokens.tokens(docs(spark, sf_dir)).filter("length(text) > 2")
     pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (F.length("text") % n + 1).cast("int"))
     return t.select((F.col("doc_id") * 100000 + F.col("tok_id")).alias("line"), F.col("text").alias("variant"), pick(["noun", "verb", "adj"], 3).alias("category"), pick(["count(thr_plur)", "past", "comparative", "uncount(thr_sing)", "pres(thr_sing)", "positive"], 6).alias("agreement"), F.expr("substring(text, 1, cast(floor(length(text) / 2) as int) + 1)").alias("base"))
 
@@ -448,7 +448,7 @@ def inflections(spark: SparkSession, sf_dir: str) -> DataFrame:
 m(category, agreement, o, tag) AS (VALUES ('noun', 'count(thr_plur)', 0, 'NNS'), ('noun', 'count(thr_plur)', 1, 'NN'), ('noun', 'uncount(thr_sing)', 0, 'NN'), ('noun', 'uncount(thr_sing)', 1, 'NNS'), ('verb', 'past', 0, 'VBD'), ('verb', 'pres(thr_sing)', 0, 'VBZ'), ('adj', 'comparative', 0, 'JJR'), ('adj', 'positive', 0, 'JJ'))
 SELECT variant AS term, tag, arg_max(base, line * 2 + o) AS norm FROM k JOIN m USING (category, agreement) GROUP BY ALL""")
 def build_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """NRM2, on the words of a tenth of the documents as an inflection list (the list, not the corpus)."""
+    """NRM2, on all words as an inflection list."""
     return norms.build_norms(inflections(spark, sf_dir))
 
 
@@ -541,10 +541,10 @@ def letter_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def aligned_longforms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ACR13, ACR14: short capital words against cleaned words; a dynamic program without SQL form."""
+    """ACR13, ACR14: capital letters and pairs of them against all cleaned words; a dynamic program without SQL form."""
     t = tokens.tokens(docs(spark, sf_dir))
     w = t.select(F.regexp_replace("text", r"[^\p{L}]", "").alias("w")).distinct()
-    return acronyms.align_longforms(w.filter(F.col("w").rlike("^[A-Z][a-z]$")).select(F.col("w").alias("abbr")), w.filter("length(w) BETWEEN 6 AND 9").select(F.col("w").alias("longform")))
+    return acronyms.align_longforms(w.filter(F.col("w").rlike("^[A-Z][a-z]$")).select(F.col("w").alias("abbr")), w.filter("w <> ''").select(F.col("w").alias("longform")))
 
 
 @query(f"""WITH {_TOK}, w AS (SELECT DISTINCT doc_id, CASE WHEN regexp_full_match(text, '[0-9]') THEN 'single_digit' WHEN regexp_full_match(text, '[0-9]*\\.[0-9]+') THEN 'decimal_number' ELSE lower(text) END AS word FROM tok WHERE regexp_full_match(text, '[a-zA-Z0-9.&_]*') AND NOT regexp_full_match(text, '[0-9][0-9,]+')
@@ -598,12 +598,11 @@ def known_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_WORDS}, rare AS (SELECT * FROM (SELECT *, sum(c) OVER (PARTITION BY cap, word) AS n FROM wc) WHERE n <= 20),
 s AS (SELECT cap, suffix, tag, sum(c) AS c FROM (SELECT cap, tag, c, unnest(list_transform(range(0, least(5, len(word)) + 1), lambda k: substr(word, len(word) - k + 1))) AS suffix FROM rare) GROUP BY ALL)
-SELECT cap, suffix, tag, c::BIGINT AS c FROM s WHERE len(suffix) = 3 AND c >= 5""")
+SELECT cap, suffix, tag, c::BIGINT AS c FROM s""")
 def word_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TRN4, R18: frequent suffixes of three letters of rare words."""
+    """TRN4, R18: all suffixes of rare words."""
     rare = tagging.word_counts(tagged(spark, sf_dir), tagging.RARE)
-    s = rare.select("cap", "tag", "c", F.explode(T.suffixes(F.col("word"), 5)).alias("suffix")).groupBy("cap", "suffix", "tag").agg(F.sum("c").alias("c"))
-    return s.filter("length(suffix) = 3 AND c >= 5")
+    return rare.select("cap", "tag", "c", F.explode(T.suffixes(F.col("word"), 5)).alias("suffix")).groupBy("cap", "suffix", "tag").agg(F.sum("c").alias("c"))
 
 
 @query()
@@ -621,14 +620,12 @@ def tagged_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Formats, sampling, metrics
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS event_id, regexp_replace(text, '[^ -z]', '', 'g') AS text, 0::INTEGER AS bold_start, least(5, len(regexp_replace(text, '[^ -z]', '', 'g')))::INTEGER AS bold_end FROM documents WHERE len(regexp_replace(text, '[^ -z]', '', 'g')) > 0")
+@query("SELECT CAST(doc_id AS VARCHAR) AS event_id, md5(text) AS text, CASE WHEN len(text) > 0 THEN 0 END::INTEGER AS bold_start, CASE WHEN len(text) > 0 THEN least(5, len(text)) END::INTEGER AS bold_end FROM documents")
 def rtf_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RTF1 to RTF15: texts written as RTF with the first five characters bold, and read back."""
-    plain = F.regexp_replace("text", "[^ -z]", "")
-    esc = lambda c: F.regexp_replace(c, r"([\\{}])", r"\\$1")
-    body = F.concat(F.lit(r"{\rtf1\ansi {\fonttbl{\f0 Arial;}}{\b "), esc(F.substring(plain, 1, 5)), F.lit("}"), esc(F.expr("substring(regexp_replace(text, '[^ -z]', ''), 6)")), F.lit("}"))
-    r = rtf.rtf_to_text(docs(spark, sf_dir).filter(F.length(plain) > 0).select(F.col("doc_id").cast("string").alias("event_id"), F.encode(body, "US-ASCII").alias("content")))
-    return r.select("event_id", "text", F.explode("formats").alias("f")).select("event_id", "text", F.col("f.start").alias("bold_start"), F.col("f.end").alias("bold_end"))
+    """RTF1 to RTF15: all texts written as RTF with the first five characters bold, and read back."""
+    written = rtf.text_to_rtf(docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("event_id"), "text"), 5)
+    bold = F.try_element_at("formats", F.lit(1))
+    return rtf.rtf_to_text(written).select("event_id", F.md5("text").alias("text"), bold["start"].alias("bold_start"), bold["end"].alias("bold_end"))
 
 
 @query("SELECT doc_id, ((row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id) - 1) // 100 + 1)::BIGINT AS batch FROM documents")
@@ -671,3 +668,6 @@ SELECT d.doc_id, '{{"doc_id":' || d.doc_id || ',"text":' || CAST(to_json(d.text)
 def serialised_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK1, R23."""
     return writers.serialise(docs(spark, sf_dir), {"caps": _capitals(spark, sf_dir)})
+
+
+from . import more_queries, source_queries  # noqa: E402, F401  (they register theirs)
