@@ -115,7 +115,9 @@ def ptb_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokens(docs(spark, sf_dir), tokens.ptb_words())
 
 
-@query()
+@query(f"""WITH {_TOK}, l AS (SELECT doc_id, tok_id, "start" + k AS a, substr(text, k + 1) AS t FROM (SELECT *, CASE WHEN "start" > 0 AND text[1] IN (chr(34), chr(39), '(') THEN 1 ELSE 0 END AS k FROM tok)),
+e AS (SELECT doc_id, tok_id, a, CASE WHEN right(t, 1) IN ('!', chr(34), chr(39), ')', ',', '.', ':', ';') THEN left(t, -1) ELSE t END AS t FROM l WHERE t <> '')
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY tok_id) - 1)::INTEGER AS tok_id, a::INTEGER AS "start", (a + len(t))::INTEGER AS "end", t AS text FROM e WHERE t <> ''""")
 def edge_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOK4."""
     return tokens.tokens(docs(spark, sf_dir), tokens.edge_words)
@@ -596,19 +598,31 @@ def known_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagging.known_words(tagged(spark, sf_dir)).withColumn("logp", F.round("logp", 6))
 
 
-@query(f"""WITH {_WORDS}, rare AS (SELECT * FROM (SELECT *, sum(c) OVER (PARTITION BY cap, word) AS n FROM wc) WHERE n <= 20),
-s AS (SELECT cap, suffix, tag, sum(c) AS c FROM (SELECT cap, tag, c, unnest(list_transform(range(0, least(5, len(word)) + 1), lambda k: substr(word, len(word) - k + 1))) AS suffix FROM rare) GROUP BY ALL)
-SELECT cap, suffix, tag, c::BIGINT AS c FROM s""")
+_SUFFIXES = f"""WITH {_WORDS}, rare AS (SELECT * FROM (SELECT *, sum(c) OVER (PARTITION BY cap, word) AS n FROM wc) WHERE n <= 20),
+s AS (SELECT cap, suffix, tag, sum(c) AS c FROM (SELECT cap, tag, c, unnest(list_transform(range(0, least(5, len(word)) + 1), lambda k: substr(word, len(word) - k + 1))) AS suffix FROM rare) GROUP BY ALL)"""
+
+
+@query(f"{_SUFFIXES} SELECT cap, suffix, tag, c::BIGINT AS c FROM s")
 def word_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TRN4, R18: all suffixes of rare words."""
     rare = tagging.word_counts(tagged(spark, sf_dir), tagging.RARE)
     return rare.select("cap", "tag", "c", F.explode(T.suffixes(F.col("word"), 5)).alias("suffix")).groupBy("cap", "suffix", "tag").agg(F.sum("c").alias("c"))
 
 
-@query()
+_FOLD = ", ".join(
+    f"l{k} AS (SELECT n.cap, n.suffix, l.tag, l.p0, (coalesce(s.c / n.n, 0) + w.w * l.p) / (1 + w.w) AS p FROM n JOIN l{k - 1} l ON l.cap = n.cap AND l.suffix = substr(n.suffix, 2) JOIN w ON w.cap = n.cap AND w.k = {k} LEFT JOIN s ON s.cap = n.cap AND s.suffix = n.suffix AND s.tag = l.tag WHERE len(n.suffix) = {k})"
+    for k in range(1, 6)
+)
+
+
+@query(f"""{_SUFFIXES}, n AS (SELECT cap, suffix, sum(c) AS n FROM s GROUP BY ALL), t AS (SELECT cap, n AS t FROM n WHERE suffix = ''),
+g AS (SELECT cap, len(suffix) AS k, tag, sum(c) AS c FROM s GROUP BY ALL), w AS (SELECT cap, k, coalesce(stddev_samp(p), 0) AS w FROM (SELECT cap, k, c / sum(c) OVER (PARTITION BY cap, k) AS p FROM g) GROUP BY ALL),
+l0 AS (SELECT cap, '' AS suffix, tag, c / t AS p0, c / t AS p FROM s JOIN t USING (cap) WHERE suffix = ''), {_FOLD},
+l AS ({" UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(1, 6))})
+SELECT cap, suffix, tag, round(log10(p * n / t / p0), 6) AS logp FROM l JOIN n USING (cap, suffix) JOIN t USING (cap) WHERE p > 0""")
 def suffix_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TRN5, R19: an ordered fold; the tests hold it against a sequential version."""
-    return tagging.suffix_model(tagged(spark, sf_dir))
+    """TRN5, R19: an ordered fold over shorter suffixes, which SQL does level by level."""
+    return tagging.suffix_model(tagged(spark, sf_dir)).withColumn("logp", F.round("logp", 6))
 
 
 @query()
