@@ -8,10 +8,10 @@ reranked by exact products.
 
 Codebooks and share are fitted on at most ``SAMPLE`` vectors (those with the least
 hash of their id): the share is the least that finds ``RECALL`` of the sample's own
-nearest rows. All vectors are indexed. Cells lie together in blocks of about
-``BLOCK`` entries, a larger cell in several, and queries are sent to the blocks of
-the cells they visit, so no block outgrows a task; a block's queries are streamed.
-Whole blocks are reranked, which can only find more.
+nearest rows. All vectors are indexed. Cells lie together in blocks of ``BLOCK`` to
+``LARGE`` entries, a larger cell in several, and queries are sent to the blocks of
+the cells they visit with a bit for each of the block's cells, so no block outgrows a
+task; a block's queries are streamed, and meet only the entries of their cells.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or
 have another length than most take no part. Repeated rows of a vec_id are its one
@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from .common import partitions, stored
 
-SAMPLE, RECALL, BLOCK, MOST_CENTROIDS, K = 16384, 0.95, 4096, 256, 20
+SAMPLE, RECALL, BLOCK, LARGE, LEAST_CENTROIDS, MOST_CENTROIDS, K = 16384, 0.94, 4096, 65536, 128, 1024, 20
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -90,7 +90,7 @@ class Index:
         return out
 
     def tune(self, x: np.ndarray, k: int, recall: float, queries: int = 128) -> None:
-        """The least share, in steps of a twentieth, that finds ``recall`` of the sample's k nearest."""
+        """The least share, in steps of a fiftieth, that finds ``recall`` of the sample's k nearest."""
         cell = self.cells(x)
         self.counts = np.bincount(cell, minlength=len(self.counts))
         qs = np.linspace(0, len(x) - 1, min(queries, len(x))).astype(int)
@@ -104,7 +104,7 @@ class Index:
             order[seen] = (np.cumsum(self.counts[seen]) - self.counts[seen]) / len(x) * 1e6
             places.append(order[cell[best[-1]]])
         got = np.concatenate(places) / 1e6 if places else np.zeros(0)
-        self.share = next((s for s in np.arange(1, 21) / 20 if not len(got) or (got < s).mean() >= recall), 1.0)
+        self.share = next((s for s in np.arange(1, 51) / 50 if not len(got) or (got < s).mean() >= recall), 1.0)
 
 
 def usable(table: DataFrame) -> tuple[DataFrame, int]:
@@ -123,7 +123,8 @@ def build(rows: DataFrame, width: int, k: int = K, recall: float = RECALL) -> In
         hashed = hashed.filter(F.col("o") < int(-(1 << 63) + (1 << 64) * 2 * SAMPLE / n))
     sample = hashed.orderBy("o", "vec_id", "v").limit(SAMPLE).select("v").toArrow()
     x = _matrix(sample.column("v").combine_chunks(), width)
-    size = int(min(MOST_CENTROIDS, max(2, 2 ** round(np.log2(max(2.0, (n / 12) ** 0.5))))))
+    # Fine cells follow the vectors closely; more of them would cost the heap more than they save.
+    size = min(MOST_CENTROIDS, max(LEAST_CENTROIDS, 2 ** round(np.log2(n**0.5 / 4))), max(2, len(x) // 8)) if n else 2
     half = max(1, width // 2)
     index = Index(codebook(x[:, :half], size), codebook(x[:, half:], size) if width > 1 else np.zeros((1, 0)))
     index.tune(x, k, recall)
@@ -133,28 +134,26 @@ def build(rows: DataFrame, width: int, k: int = K, recall: float = RECALL) -> In
 FOUND = "query_id long, vec_id long, score double"
 
 
-def _best(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Each query's k best of a block. Exact products are summed alike for all rows, so equal vectors tie."""
-    rough = q @ x.T
-    for i, own in enumerate(qid.tolist()):
-        s = rough[i]
-        s[ids == own] = -np.inf
-        m = min(k, len(s))
-        floor = -np.partition(-s, m - 1)[m - 1]
-        keep = np.flatnonzero((s >= floor - 1e-9 * max(1.0, abs(floor))) & (s > -np.inf)) if np.isfinite(floor) else np.flatnonzero(s > -np.inf)
-        exact = (x[keep] * q[i]).sum(axis=1)
-        order = np.lexsort((ids[keep], -exact))[:k]
-        yield own, ids[keep][order], exact[order]
+def _best(own: int, q: np.ndarray, at: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of the entries ``at`` of a block. Exact products are summed alike for all rows, so equal vectors tie."""
+    s = x[at] @ q
+    s[ids[at] == own] = -np.inf
+    m = min(k, len(s))
+    floor = -np.partition(-s, m - 1)[m - 1]
+    keep = at[(s >= floor - 1e-9 * max(1.0, abs(floor))) & (s > -np.inf) if np.isfinite(floor) else s > -np.inf]
+    exact = (x[keep] * q).sum(axis=1)
+    order = np.lexsort((ids[keep], -exact))[:k]
+    return ids[keep][order], exact[order]
 
 
-def search(table: DataFrame, every: int = 20, k: int = K) -> DataFrame:
-    """The k nearest rows of every row whose vec_id is divisible by ``every``."""
+def search(table: DataFrame, every: int = 20, k: int = K, recall: float = RECALL) -> DataFrame:
+    """The k nearest rows of every row whose vec_id is divisible by ``every``, found in the cells that ``recall`` takes."""
     spark = table.sparkSession
     rows, width = usable(table)
     if not width:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.dropDuplicates(["vec_id", "v"])
-    index = build(rows, width, k)
+    index = build(rows, width, k, recall)
     books = spark.sparkContext.broadcast(index)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,66 +165,79 @@ def search(table: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     count = entries.groupBy("cell").count().toArrow()  # at most MOST_CENTROIDS squared rows
     index.counts[:] = 0
     index.counts[count.column("cell").to_numpy()] = count.column("count").to_numpy()
-    # Cells in order fill blocks; a cell of more than a block has blocks of its own.
-    first, chunks, block, held = np.zeros(len(index.counts), np.int64), np.ones(len(index.counts), np.int64), 0, 0
+    # Cells in order fill blocks; a cell of more than a block has blocks of its own. Larger blocks, fewer copies of queries.
+    room = int(min(LARGE, max(BLOCK, index.counts.sum() // (4 * partitions(spark)))))
+    first, chunks, lows, held = np.zeros(len(index.counts), np.int64), np.ones(len(index.counts), np.int64), [0], 0
     for c, n in enumerate(index.counts.tolist()):
-        if n > BLOCK or held + n > BLOCK and held:
-            block, held = block + (held > 0), 0
-        first[c], held = block, held + n
-        if n > BLOCK:
-            chunks[c] = -(-n // BLOCK)
-            block, held = block + int(chunks[c]), 0
-    full = spark.sparkContext.broadcast((index, first, chunks))
+        if n > room or held + n > room and held:
+            if held:
+                lows.append(c)
+            lows[-1], held = c, 0
+        first[c], held = len(lows) - 1, held + n
+        if n > room:
+            chunks[c] = -(-n // room)
+            lows += [c] * (int(chunks[c]) - 1) + [c + 1]
+            held = 0
+    lows = np.array([*lows, len(index.counts)], np.int64)  # each block's first cell
+    full = spark.sparkContext.broadcast((index, first, chunks, lows))
 
     def own_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, first, chunks = full.value
+        _, first, chunks, lows = full.value
         for b in batches:
             cell = b.column(2).to_numpy(zero_copy_only=False)
             spread = (b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(first[cell] + spread % chunks[cell]), pa.array(np.zeros(b.num_rows, np.int32)), b.column(0), b.column(1)], names=["block", "kind", "id", "v"])
+            block = first[cell] + spread % chunks[cell]
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array((cell - lows[block]).astype(np.int32)), b.column(0), b.column(1), pa.nulls(b.num_rows, pa.binary())], names=["block", "cell", "id", "v", "cells"])
 
     def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, first, chunks = full.value
+        index, first, chunks, lows = full.value
         for b in batches:
             x = _matrix(b.column(1), width)
-            block, row = [], []
+            block, row, cells = [], [], []
             for i in range(len(x)):
-                cells = index.visit(x[i], index.share)
-                own = np.unique(np.concatenate([first[cells]] + [np.arange(first[c], first[c] + chunks[c]) for c in cells if chunks[c] > 1]))
+                seen = np.array(index.visit(x[i], index.share))
+                mark = np.zeros(len(index.counts), bool)
+                mark[seen] = True
+                own = np.unique(np.concatenate([first[seen]] + [np.arange(first[c], first[c] + chunks[c]) for c in seen[chunks[seen] > 1]]))
                 block.append(own)
                 row.append(np.full(len(own), i))
+                cells += [np.packbits(mark[lows[k] : max(lows[k + 1], lows[k] + 1)]).tobytes() for k in own]
             take = pa.array(np.concatenate(row))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(block)), pa.array(np.ones(len(take), np.int32)), b.column(0).take(take), b.column(1).take(take)], names=["block", "kind", "id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(block)), pa.nulls(len(take), pa.int32()), b.column(0).take(take), b.column(1).take(take), pa.array(cells, pa.binary())], names=["block", "cell", "id", "v", "cells"])
 
-    shape = "block long, kind int, id long, v array<double>"
+    shape = "block long, cell int, id long, v array<double>, cells binary"
     queries = entries.filter(F.col("vec_id") % every == 0).repartition(partitions(spark), "vec_id")
     both = entries.mapInArrow(own_block, shape).unionByName(queries.select("vec_id", "v").mapInArrow(visited, shape))
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, x, held = None, np.zeros(0, np.int64), np.zeros((0, width)), []
+        now, held = None, []
+        cell, ids, x = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, width))
         for b in batches:
-            blocks, kinds = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            edges = np.flatnonzero(np.diff(blocks * 2 + kinds, prepend=-1, append=-1))
+            blocks, asks = b.column(0).to_numpy(zero_copy_only=False), b.column(4).is_valid().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.diff(blocks * 2 + asks, prepend=-1, append=-1))
             out: tuple[list, list, list] = ([], [], [])
             for lo, hi in zip(edges[:-1], edges[1:]):
                 if blocks[lo] != now:
-                    now, held, ids, x = blocks[lo], [], np.zeros(0, np.int64), np.zeros((0, width))
+                    now, held = blocks[lo], []
+                    cell, ids, x = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, width))
                 some = b.slice(lo, hi - lo)
                 sid, v = some.column(2).to_numpy(zero_copy_only=False), _matrix(some.column(3), width)
-                if kinds[lo] == 0:
-                    held.append((sid, v))
+                if not asks[lo]:
+                    held.append((some.column(1).to_numpy(zero_copy_only=False).astype(np.int64), sid, v))
                     continue
                 if held:
-                    ids, x, held = np.concatenate([ids, *[h[0] for h in held]]), np.concatenate([x, *[h[1] for h in held]]), []
-                for a in range(0, len(sid), 256):
-                    if len(ids):
-                        for own, found, score in _best(sid[a : a + 256], v[a : a + 256], ids, x, k):
-                            out[0].append(np.full(len(found), own))
-                            out[1].append(found)
-                            out[2].append(score)
+                    cell, ids, x = (np.concatenate([old, *new]) for old, new in zip((cell, ids, x), zip(*held)))
+                    held = []
+                for own, q, cells in zip(sid.tolist(), v, some.column(4).to_pylist()):
+                    at = np.flatnonzero(np.unpackbits(np.frombuffer(cells, np.uint8))[cell]) if len(ids) else cell
+                    if len(at):
+                        found, score = _best(own, q, at, ids, x, k)
+                        out[0].append(np.full(len(found), own))
+                        out[1].append(found)
+                        out[2].append(score)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
 
-    near = both.repartition(partitions(spark), "block").sortWithinPartitions("block", "kind").mapInArrow(rerank, FOUND)
+    near = both.repartition(partitions(spark), "block").sortWithinPartitions("block", F.col("cells").isNotNull()).mapInArrow(rerank, FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
