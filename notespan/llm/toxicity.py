@@ -115,7 +115,7 @@ class Grammar:
             state, y = CASCADE[state, x]
             if y == "B":
                 if hits or threat and target:
-                    yield {"start": begun, "end": m.start() if m else len(text), "hits": hits, "plain": sums["I"], "negated": sums["i"], "reported": sums["r"], "aimed": sums["I"] if target else 0.0, "threat": float(threat and target)}
+                    yield {"start": begun, "end": m.start() if m else len(text), "hits": hits, "plain": sums["I"], "negated": sums["i"], "reported": sums["r"], "aimed": sums["I"] if target else 0.0, "threat": float(bool(threat and target))}
                 sums, begun = dict.fromkeys("Iir", 0.0), m.end() if m else 0
                 threat = target = hits = 0
             elif y in sums:
