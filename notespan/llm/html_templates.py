@@ -13,8 +13,9 @@ template's article or main element if there is such an element; of the others,
 every slot whose text isn't the template's own is kept. Inside an article that
 takes ``LEAST_PAGES`` different pages, since what two or three share may be content.
 
-Scale. Pages are ranged by host, a hash and page_id, and blocks are ``BLOCK`` pages
-that follow one another, the last of a host up to half as many more; a large host is many blocks in many ranges.
+Scale. Hosts are counted first; a host of over one and a half blocks is split by a hash
+of its pages into blocks of about ``BLOCK``, so a large host is many blocks in many
+partitions, and the number of partitions changes nothing.
 
 Defined cases: a null or empty page has an empty text; a page that is alone in its
 block has no template, so the structural rule alone decides; null urls are a host
@@ -35,14 +36,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches
+from .common import partitions, small_batches, stored
 
 BLOCK, LEAST_CLASS, LEAST_PAGES = 64, 3, 4
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 _ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _OUT_TAGS = frozenset("head nav header footer aside form button menu dialog title".split())
-_OUT_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|header|masthead|footer|side-?bar|aside|related|share|social|comments?|replies|disqus\w*|respond|notices?|cookies?\w*|consent|gdpr|popup|modal|newsletter|subscribe|login|search|breadcrumbs?|pagination|pager|widget|skip)(?:$|[\s_-])", re.I)
+# A class or id as a whole names what never holds main text: "comments-list" does, "comment-analysis" doesn't.
+_PLACE = r"(?:(?:site|page|main|top|bottom|left|right|global|primary|secondary|sub|post|entry|article|content|user|reader|blog|mobile|desktop|sticky|side|footer|header|google|web|js)[-_])*"
+_PART = r"(?:[-_](?:list|section|area|box|bar|wrap(?:per)?|container|inner|outer|block|links?|buttons?|icons?|form|menu|nav|panel|unit|slot|top|bottom|left|right|main|primary|secondary|posts?|articles?|stories|items?|content|widgets?|title|heading|count|thread|notice|banner|overlay|\d+))*"
+_OUT_NAMES = re.compile(_PLACE + r"(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav(?:bar|igation)?|menu\w*|masthead|footer|side-?bar|aside|related|shar(?:e|ing)|social|comments?|replies|disqus\w*|respond|notices?|cookies?\w*|consent|gdpr|popup|modal|newsletter|subscri(?:be|ption)|login|search|breadcrumbs?|pagination|pager|widgets?|skip)" + _PART, re.I)
+_HEADER = re.compile(r"(?:(?:site|page|main|top|global|primary|blog)[-_])*header" + _PART, re.I)
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 _BLOCKS = frozenset("p div article main section h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th thead tbody tfoot caption pre blockquote figure figcaption hr body html address details summary nav header footer aside form fieldset".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -107,11 +112,12 @@ class Page:
                 if name in _ENDS.get(stack[k][0], ()) and stack[k][0] in _HOLD:
                     del stack[k:]
                     break
-            known = " ".join([given.get("class", ""), given.get("id", "")])
-            out = name in _OUT_TAGS or given.get("role", "").lower() in _OUT_ROLES or "hidden" in given or given.get("aria-hidden") == "true" or bool(_OUT_NAMES.search(known))
-            # A heading's header inside the article belongs to the article.
-            if name == "header" and stack[-1][2] and not _OUT_NAMES.search(known):
+            known = f"{given.get('class', '')} {given.get('id', '')}".split()
+            out = name in _OUT_TAGS or given.get("role", "").lower() in _OUT_ROLES or "hidden" in given or given.get("aria-hidden") == "true" or any(map(_OUT_NAMES.fullmatch, known))
+            # A header inside the article belongs to the article.
+            if name == "header" and stack[-1][2] and not any(map(_OUT_NAMES.fullmatch, known)):
                 out = False
+            out = out or not stack[-1][2] and any(map(_HEADER.fullmatch, known))
             if name in ("html", "body", "article", "main"):
                 out = False
             self.tokens.append(f"<{name} {' '.join(sorted(given))} {given.get('class', '')}>")
@@ -193,6 +199,11 @@ def _ordered(tokens: list[str], at: list[int]) -> list[str]:
 
 def extract(pages: list[Page]) -> list[str]:
     """Main texts of a block's pages."""
+    return [text for text, _ in extracted(pages)]
+
+
+def extracted(pages: list[Page]) -> list[tuple[str, bool]]:
+    """Main texts of a block's pages, and whether the template's slots decided what is in them."""
     # Copies of a page tell nothing of its template.
     different = list({tuple(zip(p.tokens, p.block)): p for p in pages}.values())
     own = set(template(different))
@@ -209,43 +220,44 @@ def extract(pages: list[Page]) -> list[str]:
             if n >= 0 and (t, seen[t]) not in own:
                 free[n] += 1
             seen[t] += 1
-        if own and (not inside or len(different) >= LEAST_PAGES):
+        by_slots = bool(own) and (not inside or len(different) >= LEAST_PAGES)
+        if by_slots:
             kept = [n for n in kept if free[n]]
-        out.append("\n\n".join(t for t in (p.text(n) for n in kept) if t))
+        out.append(("\n\n".join(t for t in (p.text(n) for n in kept) if t), by_slots))
     return out
 
 
-SCHEMA = "page_id long, url string, text string, n_chars long"
+SCHEMA = "page_id long, url string, text string, n_chars long, by_template boolean"
+#: Hosts of over a block's pages that are broadcast with their number of blocks; more of them are joined by a shuffle.
+LARGE_HOSTS = 1_000_000
 
 
 def main_texts(pages: DataFrame, block: int = BLOCK) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
+    """page_id, url, text and n_chars of every page, and whether a template decided."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
+    many = pages.groupBy(host.alias("large")).count().filter(2 * F.col("count") > 3 * block)
+    many = stored(many.select("large", F.round(F.col("count") / block).cast("int").alias("blocks")), "large hosts")
+    few = many.count() <= LARGE_HOSTS
     rows = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    rows = rows.withColumn("h", F.xxhash64("page_id", "url"))
-    ranged = rows.repartitionByRange(partitions(pages.sparkSession), "host", "h", "page_id").sortWithinPartitions("host", "h", "page_id", "html")
+    rows = rows.join(F.broadcast(many) if few else many, F.col("host") == F.col("large"), "left")
+    # Copies of a page lie in one block, where they tell nothing of the template; other pages are spread evenly.
+    rows = rows.withColumn("h", F.xxhash64("page_id", "url")).withColumn("part", F.pmod("h", F.coalesce("blocks", F.lit(1)))).drop("large", "blocks")
+    grouped = rows.repartition(partitions(pages.sparkSession), "host", "part").sortWithinPartitions("host", "part", "h", "page_id", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows):
-            texts = extract([Page(r[2]) for r in rows])
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-        def last(rows):
-            # Less than half a block goes with the block before it.
-            at = block if 2 * len(rows) >= 3 * block else len(rows)
-            for part in filter(None, (rows[:at], rows[at:])):
-                yield done(part)
+            texts = extracted([Page(r[2]) for r in rows])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([t for t, _ in texts], pa.string()), pa.array([len(t) for t, _ in texts], pa.int64()), pa.array([x for _, x in texts])], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         held: list[tuple] = []
         for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if held and held[-1][3] != r[3]:
-                    yield from last(held)
+            for r in zip(*(b.column(i).to_pylist() for i in range(5))):
+                # Of one page repeated without end a block's worth is compared at a time.
+                if held and (held[-1][3:] != r[3:] or len(held) == 4 * block):
+                    yield done(held)
                     held = []
-                elif len(held) == 2 * block:
-                    yield done(held[:block])
-                    held = held[block:]
                 held.append(r)
-        yield from last(held)
+        if held:
+            yield done(held)
 
-    return ranged.select("page_id", "url", "html", "host").mapInArrow(run, SCHEMA)
+    return grouped.select("page_id", "url", "html", "host", "part").mapInArrow(run, SCHEMA)
