@@ -8,10 +8,11 @@ vector, without reading the rest.
 
 The vector has two parts. ``EXACT`` lanes modulo 2^32 come from an extendable
 hash of the paragraph: equal fingerprints mean equal multisets. ``NEAR`` lanes
-modulo 2^16 hold the paragraph's byte windows, each added to one lane with a
+modulo 2^32 hold the paragraph's byte windows, each added to one lane with a
 sign; that part is linear as well, and the cosine of two texts' lanes estimates
 that of their window counts, so texts that share most of their paragraphs, or
-most of a long one, have near fingerprints.
+most of a long one, have near fingerprints. A lane is read as a signed number, which
+is its true sum as long as no lane gets 2^31 windows more of one sign than of the other.
 
 Defined cases: a null text is the empty text, whose fingerprint is zero; a text
 of white lines only has it too. Two zero fingerprints are alike (1), a zero and
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import partitions, small_batches
 
 EXACT, NEAR, WINDOW = 32, 128, 8
-ZERO = (np.zeros(EXACT, np.uint32), np.zeros(NEAR, np.uint16))
+ZERO = (np.zeros(EXACT, np.uint32), np.zeros(NEAR, np.uint32))
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,7 +73,7 @@ def _near(paragraphs: list[bytes]) -> np.ndarray:
     h *= np.uint64(0xD6E8FEB86659FD93)
     cell = (h >> np.uint64(56)).astype(np.int64)  # 7 bits of lane, 1 of sign
     count = np.bincount(cell, minlength=2 * NEAR)
-    return (count[:NEAR] - count[NEAR:]).astype(np.int64).astype(np.uint16)
+    return (count[:NEAR] - count[NEAR:]).astype(np.int64).astype(np.uint32)
 
 
 def paragraphs(text: str) -> list[bytes]:
@@ -89,19 +90,19 @@ def fingerprint(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def to_hex(f: tuple[np.ndarray, np.ndarray]) -> str:
-    return f[0].astype("<u4").tobytes().hex() + f[1].astype("<u2").tobytes().hex()
+    return f[0].astype("<u4").tobytes().hex() + f[1].astype("<u4").tobytes().hex()
 
 
 def from_hex(s: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(s)
-    return np.frombuffer(raw[: 4 * EXACT], "<u4"), np.frombuffer(raw[4 * EXACT :], "<u2")
+    return np.frombuffer(raw[: 4 * EXACT], "<u4"), np.frombuffer(raw[4 * EXACT :], "<u4")
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """1 for equal fingerprints, else the cosine of the near lanes, 0 at least."""
     if np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1]):
         return 1.0
-    x, y = a[1].view(np.int16).astype(np.float64), b[1].view(np.int16).astype(np.float64)
+    x, y = a[1].view(np.int32).astype(np.float64), b[1].view(np.int32).astype(np.float64)
     norm = float(np.sqrt((x @ x) * (y @ y)))
     return min(1.0, max(0.0, float(x @ y) / norm)) if norm else 0.0
 
