@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -98,21 +99,37 @@ def suffix_model(tagged: DataFrame, most: int = RARE, length: int = SUFFIX) -> D
 
 
 def _suffixes(rare: DataFrame, length: int) -> DataFrame:
-    s = stored(rare.select("cap", "tag", "c", F.explode(suffixes(F.col("word"), length)).alias("suffix")).groupBy("cap", "suffix", "tag").agg(F.sum("c").alias("c")), "suffixes")
-    n = s.groupBy("cap", "suffix").agg(F.sum("c").alias("n"))
-    tags = s.filter("suffix = ''").select("cap", "tag", "c")
-    total = tags.groupBy("cap").agg(F.sum("c").alias("t"))
-    prior = tags.join(total, "cap").select("cap", "tag", (F.col("c") / F.col("t")).alias("p0"))
-    theta = s.groupBy("cap", F.length("suffix").alias("k"), "tag").agg(F.sum("c").alias("c"))
-    theta = theta.withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy("cap", "k"))).groupBy("cap", "k").agg(F.coalesce(F.stddev_samp("p"), F.lit(0.0)).alias("w"))
-    share = s.join(n, ["cap", "suffix"]).select("cap", "suffix", "tag", (F.col("c") / F.col("n")).alias("ml"), F.length("suffix").alias("k"))
-    # Each (suffix, tag) folds over its own shorter suffixes; a missing one has a share of 0.
-    chain = n.select("cap", "suffix", "n").join(prior, "cap").select("cap", "suffix", "n", "tag", "p0", F.posexplode(F.reverse(suffixes(F.col("suffix"), length))).alias("i", "part")).filter("i > 0")
-    chain = chain.join(share.select("cap", F.col("suffix").alias("part"), "tag", "ml"), ["cap", "part", "tag"], "left").join(theta.withColumnRenamed("k", "i"), ["cap", "i"])
-    steps = chain.groupBy("cap", "suffix", "tag", "n", "p0").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("ml", F.lit(0.0)).alias("ml"), "w"))).alias("steps"))
-    p = F.aggregate("steps", F.col("p0"), lambda a, x: (x["ml"] + x["w"] * a) / (1 + x["w"]))
-    out = steps.select("cap", "suffix", "tag", p.alias("p"), "n", "p0").join(total, "cap")
-    return out.filter("p > 0").select("cap", "suffix", "tag", F.log10(F.col("p") * F.col("n") / F.col("t") / F.col("p0")).alias("logp"))
+    """One row a suffix with its counts by tag in an array, folded level by level from the parent suffix."""
+    s = rare.select("cap", "tag", "c", F.explode(suffixes(F.col("word"), length)).alias("suffix")).groupBy("cap", "suffix", "tag").agg(F.sum("c").alias("c"))
+    s = stored(s, "suffixes")
+    tags = sorted(r.tag for r in s.filter("suffix = ''").select("tag").distinct().collect())  # a tag set
+    count = F.array(*[F.coalesce(F.sum(F.when(F.col("tag") == t, F.col("c"))), F.lit(0)).cast("double") for t in tags]).alias("count")
+    one = stored(s.groupBy("cap", "suffix").agg(count, F.sum("c").alias("n")), "suffix counts")
+    by_length = {(r.cap, r.k): r["sum"] for r in one.groupBy("cap", F.length("suffix").alias("k")).agg(F.array(*[F.sum(F.get("count", F.lit(i))) for i in range(len(tags))]).alias("sum")).collect()}  # a row a length
+
+    def weight(cap: bool, k: int) -> float:
+        """TRN5: standard deviation of the tags' shares among suffixes of one length."""
+        sums = [x for x in by_length.get((cap, k), ()) if x]
+        shares = [x / sum(sums) for x in sums]
+        mean = sum(shares) / len(shares) if shares else 0.0
+        return math.sqrt(sum((x - mean) ** 2 for x in shares) / (len(shares) - 1)) if len(shares) > 1 else 0.0
+
+    share = F.transform("count", lambda x: x / F.col("n"))
+    level = one.filter("suffix = ''").select("cap", "suffix", F.col("n").alias("t"), share.alias("p0"), share.alias("p"), "n")
+    levels = []
+    for k in range(1, length + 1):
+        w = F.when(F.col("cap"), weight(True, k)).otherwise(weight(False, k))
+        parent = level.select(F.col("cap").alias("_cap"), F.col("suffix").alias("_suffix"), "t", "p0", F.col("p").alias("_p"))
+        own = one.filter(F.length("suffix") == k)
+        folded = F.transform(F.arrays_zip("count", "_p"), lambda x: (x["count"] / F.col("n") + w * x["_p"]) / (1 + w))
+        level = own.join(parent, (F.col("cap") == F.col("_cap")) & (F.substring("suffix", 2, length) == F.col("_suffix"))).select("cap", "suffix", "t", "p0", folded.alias("p"), "n")
+        level = stored(level, f"level {k}")
+        levels.append(level)
+    out = reduce(DataFrame.unionByName, levels)
+    each = F.posexplode(F.arrays_zip("p", "p0")).alias("i", "x")
+    name = F.array(*map(F.lit, tags)) if tags else F.array().cast("array<string>")
+    out = out.select("cap", "suffix", "n", "t", each).filter("x.p > 0 AND x.p0 > 0")
+    return out.select("cap", "suffix", F.get(name, F.col("i")).alias("tag"), F.log10(F.col("x.p") * F.col("n") / F.col("t") / F.col("x.p0")).alias("logp"))
 
 
 def train(tagged: DataFrame, most: int = RARE, length: int = SUFFIX) -> dict[str, DataFrame]:
