@@ -24,9 +24,11 @@ its own next row. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,8 +122,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edit replaces the last third of a text by the start of the next document's
     in descending doc_id, so neighbours must meet: rows move once, to ranges of
-    doc_id bounded by its quantiles. The row at each range's start is sent to the
-    range before as well; no range waits for another, and none grows with the data.
+    doc_id bounded by its quantiles; a doc_id of many rows, such as null, is cut by
+    the hash of the text. The row at each part's start is sent to the part before as
+    well; no part waits for another.
     """
     spark = small_batches(docs).sparkSession
     n = partitions(spark)
@@ -131,21 +134,42 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     cuts = ids.agg(F.percentile_approx("k", [i / n for i in range(1, n)] + [1.0], F.lit(20 * n)).alias("q"), F.max("k").alias("top")).first()
     if cuts.top is None:
         return spark.createDataFrame([], SCHEMA)
-    tops = np.array(sorted({*cuts.q, cuts.top}), np.int64)
-    m = len(tops)
+    # A doc_id that is several quantiles at once is cut by the hash of its texts, at the least hash of each cut; what
+    # lies below it is a range of its own.
+    key, own = F.coalesce(F.col("doc_id").cast("long"), F.lit(low)), F.xxhash64(F.coalesce("text", F.lit("")))
+    hot = {k: c for k, c in Counter(cuts.q).items() if c > 1}
+    below, bounds = [], {}
+    if hot:
+        below = [x for x in ids.agg(*[F.max(F.when(F.col("k") < k, F.col("k"))) for k in hot]).first() if x is not None]
+        times = F.create_map(*[F.lit(x).cast("long") for kv in hot.items() for x in kv])
+        turn = F.floor((F.col("h").cast("double") + 2.0**63) / 2.0**64 * times[F.col("k")])
+        cut = docs.select(key.alias("k"), own.alias("h")).filter(F.col("k").isin(list(hot))).groupBy("k", turn.alias("turn")).agg(F.min("h").alias("h"))
+        for r in cut.collect():  # a row a quantile at most
+            bounds.setdefault(r.k, []).append(r.h)
+    tops = np.array(sorted({*cuts.q, cuts.top, *below}), np.int64)
+    bounds = {k: np.array(sorted(v), np.int64) for k, v in bounds.items()}
+    split = np.array([len(bounds.get(t, "x")) for t in tops.tolist()], np.int64)
+    first = np.cumsum(split[::-1])[::-1] - split  # parts in the order of the rows, descending
+    m = int(split.sum())
 
     @F.pandas_udf("array<int>")
-    def ranges(k):  # the row's own range, and the one above where it leads that
-        at = np.searchsorted(tops, k.to_numpy(), "left")
-        lead = tops[at] == k.to_numpy()
-        return k.__class__([[m - 1 - i, (m - 2 - i) % m] if x else [m - 1 - i] for i, x in zip(at.tolist(), lead.tolist())])
+    def ranges(k, h):  # the row's own part, and the one before it where the row may lead its part
+        k, h = k.to_numpy(), h.to_numpy()
+        at = np.searchsorted(tops, k, "left")
+        part, lead = first[at], tops[at] == k
+        for t, edges in bounds.items():
+            some = np.flatnonzero(k == t)
+            cell = np.searchsorted(edges, h[some], "right") - 1
+            part[some] += cell
+            lead[some] = edges[cell] == h[some]
+        return pd.Series([[p, (p - 1) % m] if x else [p] for p, x in zip(part.tolist(), lead.tolist())])
 
     rows = (
-        docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-        .withColumn("at", ranges("k"))
-        .select("k", "doc_id", "text", F.posexplode("at").alias("ahead", "part"))
+        docs.select(key.alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), own.alias("h"))
+        .withColumn("at", ranges("k", "h"))
+        .select("k", "doc_id", "text", "h", F.posexplode("at").alias("ahead", "part"))
         .repartitionById(m, "part")
-        .sortWithinPartitions("ahead", F.desc("k"), F.xxhash64("text"), "text")
+        .sortWithinPartitions("ahead", F.desc("k"), "h", "text")
         .select("doc_id", "text", "ahead")
     )
 
