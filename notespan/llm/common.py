@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..sources.readers import spread
 from ..sources.storage import stored
 
-__all__ = ["Bloom", "WORD", "arrow_map", "chunks_by_bytes", "partitions", "small_batches", "small_side", "spread", "stored", "table", "text_bytes"]
+__all__ = ["Bloom", "WORD", "arrow_map", "chunks_by_bytes", "partitions", "release", "small_batches", "spread", "stored", "table", "text_bytes", "tidy"]
 
 #: Words everywhere in this subpackage: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,10 +32,23 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
-def small_side(df: DataFrame, row_bytes: Column | None = None, most: int = 32 << 20) -> DataFrame:
-    """A stored table marked for broadcast if its rows, summed by size, take at most ``most`` bytes; else it is joined by a shuffle."""
-    size = df.agg(F.sum(F.lit(32) if row_bytes is None else row_bytes)).first()[0] or 0
-    return F.broadcast(df) if size <= most else df
+def release() -> None:
+    """Gives memory that Arrow and numpy have freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, and ``release`` at its end: Python workers stay alive between stages."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return tidied
 
 
 def partitions(spark: SparkSession) -> int:
@@ -107,9 +121,9 @@ class Bloom:
         """The filter as a function of a long column; other columns of the row don't reach Python."""
         shared = spark.sparkContext.broadcast(self)
 
-        @F.pandas_udf("boolean")
-        def hit(keys):
-            return keys.__class__(shared.value.has(keys.to_numpy()))
+        @F.arrow_udf("boolean")
+        def hit(keys: pa.Array) -> pa.Array:
+            return pa.array(shared.value.has(keys.to_numpy(zero_copy_only=False)))
 
         return hit
 

@@ -1,11 +1,12 @@
-"""Quality by the votes of nearest labelled documents in a latent space.
+"""Quality by the votes of nearest labelled documents in a latent semantic space.
 
-A document is a bag of word forms: for every word its letter case, last character,
-length and whether it repeats the word before it. Forms are weighted by
-(1 + log count) * idf and projected on the leading singular vectors of the
-labelled rows' matrix. The labelled vectors, at most ``LABELLED`` of them, are
-broadcast; every document gets exact cosines with all of them, block by block, and
-its ``NEIGHBOURS`` nearest vote with their similarity.
+A document is a bag of terms, its words hashed to ``TERMS`` places, and a bag of word
+forms: for every word its letter case, last character, length and whether it repeats
+the word before it. Both are weighted by (1 + log count) * idf, brought to one length
+each, and projected on the leading singular vectors of the labelled rows' matrix. The
+labelled vectors, at most ``LABELLED`` of them, are broadcast; every document gets
+exact cosines with all of them, block by block, and its ``NEIGHBOURS`` nearest vote with
+their similarity.
 
 Only labelled rows outside the held-out fold are learned from: the ``LABELLED``
 with the least hash of their doc_id, a documented bound. The vocabulary is fixed.
@@ -26,10 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks_by_bytes, small_batches, text_bytes
+from .common import chunks_by_bytes, release, small_batches, text_bytes
 from .shingles import CHUNK, words
 
 LABELLED, RANK, NEIGHBOURS, THRESHOLD, FOLDS = 8192, 32, 15, 0.3, 5
+TERMS, ROWS = 1 << 14, 128
+#: Entries of a sparse matrix that are multiplied at once.
+CELLS = 1 << 15
 
 _LAST = np.full(256, 11, np.int64)
 _LAST[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 0
@@ -41,10 +45,11 @@ _UP[65:91] = 1
 _LOW[97:123] = 1
 _EDGES = np.array([1, 2, 4, 7, 11, 16, 25])
 FORMS = 3 * 5 * 12 * 8
+FEATURES = FORMS + TERMS
 
 
 def forms(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each chunk of rows: their number, and row, form and count of every form that occurs."""
+    """For each chunk of rows: their number, and row, feature (form, or term after all forms) and count of every feature that occurs."""
     raw, ends = text_bytes(column)
     for a, b in chunks_by_bytes(ends, CHUNK):
         part, cut = raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
@@ -63,8 +68,9 @@ def forms(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nd
         again[1:][same[1:] & same[:-1]] = 2
         length = np.searchsorted(_EDGES, last - first, "left")
         form = ((again * 5 + case) * 12 + _LAST[part[last - 1]]) * 8 + length
-        key, count = np.unique(owner * FORMS + form, return_counts=True)
-        yield b - a, key // FORMS, key % FORMS, count
+        term = FORMS + (h >> np.uint64(64 - TERMS.bit_length() + 1)).astype(np.int64)
+        key, count = np.unique(np.concatenate([owner * FEATURES + form, owner * FEATURES + term]), return_counts=True)
+        yield b - a, key // FEATURES, key % FEATURES, count
 
 
 def held_out(doc_id: Column) -> Column:
@@ -97,29 +103,70 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple | None:
     if not got.num_rows:
         return None
     y = got.column("y").to_numpy()
-    x = np.zeros((len(y), FORMS), np.float32)
-    for i, (f, c) in enumerate(zip(got.column("form").to_pylist(), got.column("count").to_pylist())):
-        x[i, f] = 1 + np.log(c)
-    idf = (np.log((1 + len(y)) / (1 + (x > 0).sum(axis=0))) + 0.1).astype(np.float32)
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-    project = vectors[:, ::-1][:, :RANK].astype(np.float32)
-    z = x @ project
+    lists = [got.column(c).combine_chunks() for c in ("form", "count")]
+    size = np.array([len(f) for f in lists[0]])
+    form, count = (x.flatten().to_numpy() for x in lists)
+    del got, lists  # the driver holds a few numbers an entry of the matrix, in 32 bits
+    row = np.repeat(np.arange(len(y), dtype=np.int32), size)
+    idf = np.log((1 + len(y)) / (1 + np.bincount(form, minlength=FEATURES))) + 0.1
+    value = weighted(row, form, count, idf, len(y))
+    project = leading(row, form, value, len(y))
+    z = projected(row, form, value, project, len(y))
     size = np.linalg.norm(z, axis=1, keepdims=True)
-    return idf, project, np.where(size > 0, z / np.maximum(size, 1e-12), 0).astype(np.float32), y.astype(np.float32)
+    return idf, project.astype(np.float32), np.where(size > 0, z / np.maximum(size, 1e-12), 0).astype(np.float32), y.astype(np.float32)
+
+
+def weighted(row: np.ndarray, form: np.ndarray, count: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
+    """(1 + log count) * idf, the forms and the terms of each row of length 1."""
+    value = ((1 + np.log(count)) * idf[form]).astype(np.float32)
+    half = 2 * row + (form >= FORMS)
+    value /= np.sqrt(np.bincount(half, value * value, 2 * n)).astype(np.float32)[half]
+    return value
+
+
+def projected(row: np.ndarray, form: np.ndarray, value: np.ndarray, project: np.ndarray, n: int) -> np.ndarray:
+    """The rows' sparse vectors (sorted by row) times ``project``; each row's sum is made alike wherever it stands."""
+    z = np.zeros((n, project.shape[1]))
+    ends = np.searchsorted(row, np.arange(n + 1))
+    for a, b in chunks_by_bytes(ends, CELLS):
+        lo, hi = ends[a], ends[b]
+        some = np.flatnonzero(np.diff(ends[a : b + 1]))
+        if len(some):
+            z[a + some] = np.add.reduceat(project[form[lo:hi]] * value[lo:hi, None], ends[a + some] - lo)
+    return z
+
+
+def leading(row: np.ndarray, form: np.ndarray, value: np.ndarray, n: int, rounds: int = 6, seed: int = 11) -> np.ndarray:
+    """The leading ``RANK`` right singular vectors of the sparse matrix, by seeded subspace iteration."""
+    order = np.argsort(form, kind="stable")
+    t_row, t_form, t_value = row[order], form[order], value[order]
+    q = np.random.Generator(np.random.PCG64(seed)).normal(size=(FEATURES, RANK + 8))
+    for _ in range(rounds):
+        y = projected(row, form, value, q, n)
+        q, _ = np.linalg.qr(projected(t_form, t_row, t_value, y, FEATURES))
+    _, _, v = np.linalg.svd(projected(row, form, value, q, n), full_matrices=False)
+    return (q @ v.T)[:, :RANK]
 
 
 def _votes(z: np.ndarray, known: np.ndarray, y: np.ndarray) -> np.ndarray:
-    k = min(NEIGHBOURS, len(y))
-    like = z @ known.T
-    top = np.argpartition(-like, k - 1, axis=1)[:, :k] if k < len(y) else np.tile(np.arange(k), (len(z), 1))
+    """Votes of the nearest known rows; of equally near ones the first in order count. Blocks have one shape, so a row's products don't depend on its neighbours."""
+    k, n = min(NEIGHBOURS, len(y)), len(z)
+    if n < ROWS:
+        z = np.concatenate([z, np.zeros((ROWS - n, z.shape[1]), z.dtype)])
+    like = (z @ known.T)[:n]
+    if k < len(y):
+        least = -np.partition(-like, k - 1, axis=1)[:, k - 1 : k]
+        sure, tied = like > least, like == least
+        take = sure | tied & (np.cumsum(tied, axis=1) <= k - sure.sum(axis=1, keepdims=True))
+        top = np.nonzero(take)[1].reshape(n, k)
+    else:
+        top = np.tile(np.arange(k), (n, 1))
     w = np.maximum(np.take_along_axis(like, top, 1), 1e-6) ** 8
     return (w * y[top]).sum(axis=1) / w.sum(axis=1)
 
 
 def scorer(docs: DataFrame, labels: DataFrame):
-    """A pandas UDF from text to score."""
+    """A function from an Arrow column of texts to their scores."""
     model = docs.sparkSession.sparkContext.broadcast(fit(small_batches(docs), labels))
 
     def scores(column: pa.Array) -> np.ndarray:
@@ -128,15 +175,13 @@ def scorer(docs: DataFrame, labels: DataFrame):
         idf, project, known, y = model.value
         out = []
         for n, row, form, count in forms(column):
-            x = np.zeros((n, FORMS), np.float32)
-            x[row, form] = (1 + np.log(count)) * idf[form]
-            z = x @ project
+            z = projected(row, form, weighted(row, form, count, idf, n), project, n).astype(np.float32)
             size = np.linalg.norm(z, axis=1)
             score = np.full(n, y.mean(), np.float64)
-            for a in range(0, n, 128):
-                some = np.flatnonzero(size[a : a + 128] > 0) + a
-                if len(some):
-                    score[some] = _votes(z[some] / size[some, None], known, y)
+            some = np.flatnonzero(size > 0)
+            for a in range(0, len(some), ROWS):
+                part = some[a : a + ROWS]
+                score[part] = _votes(z[part] / size[part, None], known, y)
             out.append(score)
         return np.clip(np.concatenate(out), 0, 1) if out else np.zeros(0)
 
@@ -159,8 +204,10 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose predicted label is 1."""
     scores = scorer(docs, labels)
 
-    @F.pandas_udf("double")
-    def score(text):
-        return text.__class__(scores(pa.Array.from_pandas(text, type=pa.string())))
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        found = pa.array(scores(text), pa.float64())
+        release()
+        return found
 
     return docs.filter(score(F.col("text")) >= THRESHOLD)
