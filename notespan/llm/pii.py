@@ -8,7 +8,7 @@ log2(N / n), where n is the number of texts with the entity, co of those that ho
 the term anywhere outside base spans, df of all texts with the term and N of all. A
 term with at least ``SUPPORT`` texts and a share of ``GENERALISE`` is replaced by its
 shape, with a share of ``REMOVE`` removed. All four count different texts, so copies of
-a document change nothing. Terms have ``LEAST_BYTES`` bytes at least.
+a document change nothing. Terms are runs of letters and digits, of ``LEAST_BYTES`` bytes at least (1: of any length).
 
 Scale. Terms are kept only of texts with entities. Candidate terms are counted in
 all texts behind a Bloom filter of bounded size, a count a term and batch; then only
@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, chunks_by_bytes, small_batches, small_side, stored, text_bytes
+from .common import Bloom, chunks_by_bytes, small_batches, stored, text_bytes, tidy
 from .shingles import BYTE, CHUNK, LOWER, mix, powers
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
-LEAST_BYTES = 4
+LEAST_BYTES = 1
 
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -164,7 +164,7 @@ def found(docs: DataFrame) -> DataFrame:
             arrays = [b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.string()), pa.array(cols[5], span), *[pa.array(c, pa.list_(pa.int64())) for c in cols[6:]]]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "terms"])
 
-    return _keyed(docs).select("doc_id", "h", "text").mapInArrow(run, _FOUND)
+    return _keyed(docs).select("doc_id", "h", "text").mapInArrow(tidy(run), _FOUND)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 take = pa.array(row + lo)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(t[hit]), pa.array((point[first[hit]] - base).astype(np.int32)), pa.array((point[last[hit]] - base).astype(np.int32))], names=["doc_id", "h", "term", "start", "end"])
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, h long, term long, start int, end int").join(wanted.select("term").distinct(), "term", "left_semi")
+    return _keyed(docs).mapInArrow(tidy(run), "doc_id long, h long, term long, start int, end int").join(wanted.select("term").distinct(), "term", "left_semi")
 
 
 def frequencies(docs: DataFrame, base: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -220,7 +220,7 @@ def frequencies(docs: DataFrame, base: DataFrame, wanted: DataFrame) -> DataFram
                 texts = pa.concat_arrays([pa.nulls(len(one), pa.int64()), pa.array(h[row[own]])])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([one, t[own]])), texts, pa.array(np.concatenate([n, np.ones(int(own.sum()), np.int64)]))], names=["term", "h", "n"])
 
-    seen = _keyed(docs).select("h", "text").mapInArrow(run, "term long, h long, n long").groupBy("term", "h").agg(F.sum("n").alias("n"))
+    seen = _keyed(docs).select("h", "text").mapInArrow(tidy(run), "term long, h long, n long").groupBy("term", "h").agg(F.sum("n").alias("n"))
     df = seen.groupBy("term").agg(F.sum(F.when(F.col("h").isNull(), F.col("n")).otherwise(1)).alias("df"))
     return df.join(wanted.select("term").distinct(), "term", "left_semi")
 
@@ -230,9 +230,11 @@ def disclosing(docs: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]
     total = base.select("h").distinct().count()
     texts = base.filter(F.size("entities") > 0).select("h", "entities", "terms").dropDuplicates(["h"])
     held = texts.select("h", "terms", F.explode("entities").alias("e"))
-    size = held.groupBy("e").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT)
-    co = held.join(size, "e").select("e", "n", F.explode("terms").alias("term")).groupBy("e", "term", "n").agg(F.count("*").alias("co")).filter(F.col("co") >= SUPPORT)
-    co = stored(co, "candidates")
+    size = stored(held.groupBy("e").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT), "entities")
+    often = Bloom.of(size, "e").test(docs.sparkSession)
+    # Counts are added up before entities meet their sizes, so an entity of many texts is no hot key.
+    co = held.filter(often(F.col("e"))).select("e", F.explode("terms").alias("term")).groupBy("e", "term").agg(F.count("*").alias("co")).filter(F.col("co") >= SUPPORT)
+    co = stored(co.join(size, "e"), "candidates")
     if co.isEmpty():
         return None
     df = frequencies(docs, base, stored(co.select("term").distinct(), "wanted"))
@@ -281,15 +283,21 @@ def cleaned(text: str, all_spans: list[tuple[int, int, int, float]]) -> str:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` with sanitised texts; rows without spans, and all other columns, stay as they are."""
+    """``docs`` with sanitised texts; rows without spans, and all other columns, stay as they are.
+
+    Only rows that a Bloom filter of those with spans lets through are shuffled, at any size.
+    """
     touched = spans(docs).filter(F.size("all") > 0).groupBy("doc_id", "h").agg(F.first("all").alias("all"))
-    touched = stored(touched.select(F.col("doc_id").alias("d"), F.col("h").alias("h2"), F.col("all").alias("marks")), "touched")
+    touched = stored(touched.select(F.col("doc_id").alias("d"), F.col("h").alias("h2"), F.col("all").alias("marks"), F.xxhash64("doc_id", "h").alias("mark")), "touched")
+    hit = Bloom.of(touched, "mark").test(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.col("text").alias("t"), F.struct(*docs.columns).alias("whole"))
-    rows = rows.join(small_side(touched, 64 + 24 * F.size("marks")), (F.col("h") == F.col("h2")) & F.col("k").eqNullSafe(F.col("d")), "left")
+    rows = rows.withColumn("own", F.xxhash64("k", "h"))
+    some = rows.filter(hit(F.col("own"))).join(touched.drop("mark"), (F.col("h") == F.col("h2")) & F.col("k").eqNullSafe(F.col("d")), "left")
 
-    @F.pandas_udf("string")
-    def clean(text, marks):
-        return text.__class__([cleaned(t, [(s["start"], s["kind"], s["end"], s["share"]) for s in m]) for t, m in zip(text, marks)])
+    @F.arrow_udf("string")
+    def clean(text: pa.Array, marks: pa.Array) -> pa.Array:
+        pairs = zip(text.to_pylist(), marks.to_pylist())
+        return pa.array([t if m is None else cleaned(t or "", [(s["start"], s["kind"], s["end"], s["share"]) for s in m]) for t, m in pairs], pa.string())
 
-    hit = rows.filter(F.col("marks").isNotNull()).select(F.col("whole").withField("text", clean("t", "marks")).alias("whole"))
-    return rows.filter(F.col("marks").isNull()).select("whole").unionByName(hit).select("whole.*")
+    done = some.select(F.col("whole").withField("text", clean("t", "marks")).alias("whole"))
+    return rows.filter(~hit(F.col("own"))).select("whole").unionByName(done).select("whole.*")
