@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, small_batches, small_side, stored
+from .common import Bloom, small_batches, stored, tidy
 from .shingles import mix, shingle_sets
 
 PERCENT = 90
@@ -100,7 +100,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(odd, pa.binary()), pa.array(wide, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "h", "n", "key", "odd", "wide", "head"])
 
     own = F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", own).mapInArrow(run, "doc_id long, h long, n long, key binary, odd binary, wide binary, head array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", own).mapInArrow(tidy(run), "doc_id long, h long, n long, key binary, odd binary, wide binary, head array<long>")
 
 
 def _rehashed(docs: DataFrame, wanted: DataFrame, each, schema: str) -> DataFrame:
@@ -122,7 +122,7 @@ def _rehashed(docs: DataFrame, wanted: DataFrame, each, schema: str) -> DataFram
             key = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key, pa.binary()), *each(sets)], names=["doc_id", "key", *(x.split()[0] for x in schema.split(", "))])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, key binary, {schema}")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), f"doc_id long, key binary, {schema}")
     names = [x.split()[0] for x in schema.split(", ")]
     more = [c for c in wanted.columns if c not in ("doc_id", "key")]
     w = wanted.select(F.col("key").alias("k"), F.col("doc_id").alias("d"), *more)
@@ -153,7 +153,7 @@ def slot_levels(counts: DataFrame, least: int = 0) -> tuple[np.ndarray, int]:
 
     out = np.zeros(size, np.uint8)
     if held:
-        best = counts.filter(F.col("level") >= least).mapInArrow(slots, "slot long, level int").groupBy("slot").agg(F.max("level").alias("level"))
+        best = counts.filter(F.col("level") >= least).mapInArrow(tidy(slots), "slot long, level int").groupBy("slot").agg(F.max("level").alias("level"))
         got = best.toArrow()  # at most one row per slot
         out[got.column("slot").to_numpy()] = got.column("level").to_numpy()
     return out, size - 1
@@ -199,14 +199,18 @@ def _posted(tokens: np.ndarray, n: int, levels: np.ndarray, mask: int) -> tuple[
     return t[: n - least_overlap(n) + m], m, sure
 
 
-def prefixes(classes: DataFrame, docs: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, int]]:
+def prefixes(classes: DataFrame, sources: tuple[DataFrame, DataFrame, Bloom], docs: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, int]]:
     """(cid, n, m, parities, prefix in order) of every class, and the levels of tokens in ``HOT`` prefixes or more."""
     frequent = repeated_tokens(classes.select(F.explode("head").alias("token")), "frequent", FREQUENT)
     levels, mask = slot_levels(frequent)
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    context = docs.sparkSession.sparkContext
+    rows, many, repeated = sources
+    shared, repeated = context.broadcast(levels), context.broadcast(repeated)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            k = b.column(4)
+            b = b.filter(pa.array(k.is_null().to_numpy(zero_copy_only=False) | ~repeated.value.has(k.fill_null(0).to_numpy())))
             heads = b.column(3)
             flat, off = heads.values.to_numpy(zero_copy_only=False), heads.offsets.to_numpy()
             done = [_posted(flat[off[r] : off[r + 1]], n, shared.value, mask) for r, n in enumerate(b.column(1).to_pylist())]
@@ -216,7 +220,10 @@ def prefixes(classes: DataFrame, docs: DataFrame) -> tuple[DataFrame, tuple[np.n
         done = [_posted(x.view(np.int64), len(x), shared.value, mask) if len(x) else (x, 1, True) for x in sets]
         return [pa.array([len(x) for x in sets], pa.int32()), pa.array([m for _, m, _ in done], pa.int32()), pa.array(map(parities, sets), pa.binary()), _lists([t for t, *_ in done])]
 
-    own = stored(classes.select("cid", F.col("n").cast("int").alias("n"), "odd", "head").mapInArrow(known, "cid long, n int, m int, odd binary, sure boolean, prefix array<long>"), "prefixes")
+    # One Python worker a task does both: which rows are classes of their own, and their prefixes.
+    cols = [F.col("n").cast("int").alias("n"), "odd", "head"]
+    both = rows.select(F.col("row").alias("cid"), *cols, F.xxhash64("key").alias("k")).unionByName(many.select("cid", *cols, F.lit(None).cast("long").alias("k")))
+    own = stored(both.mapInArrow(tidy(known), "cid long, n int, m int, odd binary, sure boolean, prefix array<long>"), "prefixes")
     out, hot = own.filter("sure").drop("sure"), frequent
     unsure = stored(classes.select("cid", "doc_id", "key").join(own.filter("NOT sure").select("cid"), "cid", "left_semi"), "unsure")
     if not unsure.isEmpty():  # frequent tokens fill their heads: order their whole sets
@@ -236,9 +243,9 @@ def _of_tokens(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, np.arange(len(flat)) - np.repeat(off[:-1] - off[0], size), flat
 
 
-def similar_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
+def similar_classes(classes: DataFrame, sources: tuple[DataFrame, DataFrame, Bloom], docs: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of ids of linked classes."""
-    prefix, (hot, mask) = prefixes(classes, docs)
+    prefix, (hot, mask) = prefixes(classes, sources, docs)
     hot = docs.sparkSession.sparkContext.broadcast(hot)
 
     schema = "key long, cid long, about long, " + ", ".join(f"{c} long" for c in ODD)
@@ -271,7 +278,7 @@ def similar_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
                 about = (n << 32 | m)[row] | place << 3
                 yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(cid[row]), pa.array(about), *[pa.array(odd[row, k]) for k in range(len(ODD))]], names=["key", "cid", "about", *ODD])
 
-        return prefix.mapInArrow(run, schema)
+        return prefix.mapInArrow(tidy(run), schema)
 
     part = lambda c: (F.shiftright(c, 32), F.shiftright(c, 3).bitwiseAND((1 << 29) - 1), F.col(c).bitwiseAND(7))
     (n1, i1, m1), (n2, i2, m2) = part("about1"), part("about2")
@@ -312,7 +319,7 @@ def alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     n1, n2 = F.col("n1"), F.col("n2")
     both = pairs.join(one, "cid1").join(two, "cid2").select("cid1", "cid2", (n1 + n2 - 2 * needed(n1, n2)).cast("long").alias("most"), "wide1", "wide2")
-    return both.mapInArrow(run, "cid1 long, cid2 long")
+    return both.mapInArrow(tidy(run), "cid1 long, cid2 long")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -357,7 +364,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
                     b.append(max(x, y))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.repartition("unit").sortWithinPartitions("unit", "kind").mapInArrow(run, "a long, b long")
+    return rows.repartition("unit").sortWithinPartitions("unit", "kind").mapInArrow(tidy(run), "a long, b long")
 
 
 def components(edges: DataFrame, local: int = 200_000) -> DataFrame:
@@ -403,24 +410,30 @@ def _forest(edges: DataFrame) -> DataFrame:
             nodes = list(parent)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, batch.schema.field(0).type), pa.array([root(x) for x in nodes], batch.schema.field(0).type)], names=["node", "root"])
 
-    return edges.coalesce(1).mapInArrow(run, f"node {kind}, root {kind}")
+    return edges.coalesce(1).mapInArrow(tidy(run), f"node {kind}, root {kind}")
 
 
-def classes_of(rows: DataFrame) -> DataFrame:
-    """A row per different set: cid, key, n, odd, head, doc_id (the least) and copies; only rows of repeated sets are shuffled whole."""
+def classes_of(rows: DataFrame) -> tuple[DataFrame, tuple[DataFrame, DataFrame, Bloom]]:
+    """A row per different set: cid, key, n, odd, head, doc_id (the least) and copies; only rows of repeated sets are shuffled whole.
+
+    Also what they come from: all rows, the classes of those that the filter of repeated sets holds, and that filter.
+    """
     some = rows.filter("n > 0")
     again = stored(some.groupBy("key").count().filter("count > 1").select(F.xxhash64("key").alias("k")), "repeated")
-    hit = Bloom.of(again, "k").test(rows.sparkSession)(F.xxhash64("key"))
+    repeated = Bloom.of(again, "k")
+    hit = repeated.test(rows.sparkSession)(F.xxhash64("key"))
     cols = ["key", "n", "odd", "wide", "head"]
     many = some.filter(hit).groupBy("key").agg(F.min("row").alias("cid"), *[F.first(c).alias(c) for c in cols[1:]], F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    return some.filter(~hit).select("key", F.col("row").alias("cid"), *cols[1:], "doc_id", F.lit(1).cast("long").alias("copies")).unionByName(stored(many, "copied"))
+    many = stored(many, "copied")
+    classes = some.filter(~hit).select("key", F.col("row").alias("cid"), *cols[1:], "doc_id", F.lit(1).cast("long").alias("copies")).unionByName(many)
+    return classes, (some, many, repeated)
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, h, n, key) of every row, h its text's hash, and (key, n_similar, component_id, comp) of every set with links or copies."""
     rows = stored(signatures(small_batches(docs)).withColumn("row", F.monotonically_increasing_id()), "signatures")
-    classes = classes_of(rows)
-    links = stored(similar_classes(classes, docs), "links")
+    classes, sources = classes_of(rows)
+    links = stored(similar_classes(classes, sources, docs), "links")
     ends = links.union(links.select("b", "a")).toDF("cid", "other")
     weight = classes.select(F.col("cid").alias("other"), "copies")
     others = ends.join(weight, "other").groupBy("cid").agg(F.sum("copies").alias("others"))
@@ -442,14 +455,31 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """The row of the least doc_id of every component; all columns stay. Rows with a null doc_id are kept.
+    """The row of the least doc_id of every component; all columns stay.
 
-    Of rows that repeat both doc_id and text one is kept.
+    Rows are told apart by doc_id and text: of a doc_id with several texts only those
+    go that are near copies. A null doc_id comes after all others; ties go by the
+    text's hash; of rows that repeat both doc_id and text one is kept if they are
+    linked with anything, which they are with one another unless they have no words.
+    Only rows that a Bloom filter can't settle are shuffled, at any size.
     """
-    found = stored(jaccard_join(docs).filter("n_similar > 0 AND doc_id IS NOT NULL"), "similar")
-    gone = stored(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(small_side(gone), "doc_id", "left_anti")
-    again = stored(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    if not again.isEmpty():
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
-    return kept.select(*docs.columns)
+    spark = docs.sparkSession
+    rows, special = linked(docs)
+    found = stored(rows.join(special, "key").groupBy("doc_id", "h", "comp").count(), "similar")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("o")
+    kept = found.groupBy("comp").agg(first).select(F.col("o.doc_id").alias("d"), F.col("o.h").alias("g"))
+    same = (F.col("h") == F.col("g")) & F.col("doc_id").eqNullSafe(F.col("d"))
+    mark = F.xxhash64("doc_id", "h").alias("mark")
+    gone = stored(found.join(kept, same, "left_anti").select("doc_id", "h", mark), "gone")
+    again = stored(found.filter("count > 1").join(kept, same, "left_semi").select("doc_id", "h", mark), "again")
+    touched = Bloom.of(stored(gone.union(again), "touched"), "mark").test(spark)
+    other = gone.select(F.col("doc_id").alias("d"), F.col("h").alias("g"))
+    # Rows that the first filter lets through although they stay; what is in neither is gone for certain.
+    spared = rows.select("doc_id", "h", mark).filter(touched(F.col("mark"))).join(other, same, "left_anti")
+    staying = Bloom.of(stored(spared, "spared"), "mark").test(spark)
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.struct(*docs.columns).alias("whole")).withColumn("mark", mark)
+    sure = whole.filter(~touched(F.col("mark"))).select("whole.*")
+    open_ = whole.filter(touched(F.col("mark"))).filter(staying(F.col("mark"))).join(other, same, "left_anti")
+    twice = again.select(F.col("doc_id").alias("d"), F.col("h").alias("g"))
+    one = open_.join(twice, same, "left_semi").dropDuplicates(["doc_id", "h"]).unionByName(open_.join(twice, same, "left_anti"))
+    return sure.unionByName(one.select("whole.*"))

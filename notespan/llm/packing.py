@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, stored
+from .common import partitions, small_batches, stored, tidy
 
 LENGTH, END, BANDS, DEGREE = 2048, 1, 8, 4
 GROUP, BIN = 16384, 4096
@@ -159,7 +159,7 @@ def tokenised(docs: DataFrame) -> DataFrame:
         if held:
             yield from done(held)
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, ids binary, sig binary")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n long, ids binary, sig binary")
     return stored(out.withColumn("row", F.monotonically_increasing_id()), "ids")
 
 
@@ -181,7 +181,7 @@ def neighbours(nodes: DataFrame, n: int) -> DataFrame:
     band = F.explode(F.array(*[F.lit(i) for i in range(BANDS)])).alias("band")
     keys = nodes.select(band, "sig", "row").withColumn("part", F.substring("sig", F.col("band") * 4 + 1, F.lit(4)))
     # Equal minima stay in one range, else the links at its ends would be lost; rows are of some 50 bytes.
-    links = keys.repartitionByRange(n, "band", "part").sortWithinPartitions("band", "part", "sig", "row").select("band", "sig", "row").mapInArrow(link, "row long, other long, like int")
+    links = keys.repartitionByRange(n, "band", "part").sortWithinPartitions("band", "part", "sig", "row").select("band", "sig", "row").mapInArrow(tidy(link), "row long, other long, like int")
     near = F.slice(F.sort_array(F.collect_set(F.struct("like", "other")), False), 1, DEGREE)
     return links.groupBy("row").agg(near.alias("near"))
 
@@ -224,7 +224,7 @@ def groups(near: DataFrame, sizes: dict[int, int]) -> DataFrame:
         return (bases[k] << 33) + x - starts[k]
 
     links = near.select("row", F.explode("near").alias("x")).select(F.least("row", "x.other").alias("a"), F.greatest("row", "x.other").alias("b"), "x.like").distinct()
-    return links.repartition(1).sortWithinPartitions(F.desc("like"), "a", "b").select("a", "b").mapInArrow(run, "row long, root long")
+    return links.repartition(1).sortWithinPartitions(F.desc("like"), "a", "b").select("a", "b").mapInArrow(tidy(run), "row long, root long")
 
 
 def walk(nodes: list[tuple[int, list[int]]]) -> Iterator[int]:
@@ -280,7 +280,7 @@ def places(rows: DataFrame) -> DataFrame:
 
     # Sorted by what ties go by; a bin is whole in one partition, however many there are.
     ranged = joined.repartition(n, "bin").sortWithinPartitions("bin", "label", "doc_id", "row")
-    return ranged.select("row", "n", "near", "bin").mapInArrow(run, "row long, stream long, at long, total long")
+    return ranged.select("row", "n", "near", "bin").mapInArrow(tidy(run), "row long, stream long, at long, total long")
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -312,4 +312,4 @@ def pack(docs: DataFrame) -> DataFrame:
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return rows.select("row", "doc_id", "ids").join(where, "row").select("doc_id", "ids", "stream", "at", "total").mapInArrow(run, PIECES)
+    return rows.select("row", "doc_id", "ids").join(where, "row").select("doc_id", "ids", "stream", "at", "total").mapInArrow(tidy(run), PIECES)

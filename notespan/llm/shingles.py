@@ -17,7 +17,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 _powers = np.ones(1, np.uint64)
 
