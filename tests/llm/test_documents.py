@@ -96,7 +96,7 @@ def test_terms_that_reveal_an_entity_are_found_by_counting(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r.spans for r in pii.personal_data(docs).collect()}
     # brute force: shares by the definition
-    term = re.compile(r"[A-Za-z0-9\x80-\U0010ffff]{4,}")
+    term = re.compile(r"[A-Za-z0-9\x80-\U0010ffff]+")
     n, ctx = len(rows), {}
     for _, t, _ in rows:
         for m in EMAIL.finditer(t or ""):
@@ -412,3 +412,208 @@ def test_terms_far_from_an_entity_count_and_copies_do_not(spark):
     assert shares[0] == shares[1] and set(shares[0]) == {pii.term_hash("zorblax"), pii.term_hash("phone")}
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert not any("Zorblax" in t for t in clean.values()) and clean[10] == rows[3][1]
+
+
+def test_near_copies_go_by_row_not_by_doc_id(spark):
+    core = ["c%d" % i for i in range(120)]
+
+    def near(k):
+        w = list(core)
+        w[-1] = "v%d" % k  # one shingle of many
+        return " ".join(w)
+
+    own = ["own text %d of nothing else here at all" % k for k in range(4)]
+    rows = [(1, near(0)), (5, near(1)), (5, own[0]), (5, own[1]), (7, near(2)), (7, near(2)), (8, own[2]), (8, own[2])]
+    rows += [(None, near(3)), (None, own[3]), (None, own[3]), (9, ""), (9, ""), (9, None), (None, ""), (1, near(4))]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id int, text string, h string")
+    got = jaccard.without_near_copies(docs)
+    assert got.columns == docs.columns
+    # brute force: of every component the first row by (null last, doc_id); rows without words are alone
+    want = [(5, own[0]), (5, own[1]), (8, own[2]), (None, own[3]), (9, ""), (9, ""), (9, None), (None, "")]
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+    group = [r for r in kept if r[1] in (near(0), near(4))]
+    assert len(group) == 1 and group[0][0] == 1
+    assert sorted([r for r in kept if r not in group], key=repr) == sorted(want, key=repr)
+    assert all(r.h == "x" for r in got.collect())
+
+
+def plain_fingerprint(text):
+    """The documented sums, paragraph by paragraph and window by window, in whole numbers."""
+    exact, near = [0] * fingerprint.EXACT, [0] * fingerprint.NEAR
+    for p in text.encode().split(b"\n"):
+        if not p.strip():
+            continue
+        wide = hashlib.shake_128(p).digest(4 * fingerprint.EXACT)
+        exact = [(x + int.from_bytes(wide[4 * i : 4 * i + 4], "little")) % 2**32 for i, x in enumerate(exact)]
+        p = p + b"\0" * max(0, fingerprint.WINDOW - len(p))
+        for k in range(len(p) - fingerprint.WINDOW + 1):
+            h = int.from_bytes(p[k : k + 8], "little") * 0x9E3779B97F4A7C15 % 2**64
+            h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 % 2**64
+            cell = h >> 56
+            near[cell % fingerprint.NEAR] += 1 if cell < fingerprint.NEAR else -1
+    return exact, near
+
+
+def test_fingerprints_against_sums_of_whole_numbers(docs):
+    def text_of(e, n):
+        return b"".join((x % 2**32).to_bytes(4, "little") for x in [*e, *n]).hex()
+
+    def like(a, b):
+        if a == b:
+            return 1.0
+        dot, x, y = (sum(u * v for u, v in zip(p, q)) for p, q in ((a[1], b[1]), (a[1], a[1]), (b[1], b[1])))
+        return min(1.0, max(0.0, dot / (x * y) ** 0.5)) if x and y else 0.0
+
+    short = [r for r in rows() if len(r[1] or "") < 5000 and r[0] != 9]
+    short = sorted(short, key=lambda r: r[0] if r[0] is not None else -(1 << 63), reverse=True)
+    got = {r.doc_id: r for r in fingerprint.fingerprints(docs.sparkSession.createDataFrame(short, SCHEMA)).collect()}
+    for r, nxt in zip(short, short[1:] + short[:1]):
+        t, u = r[1] or "", nxt[1] or ""
+        k = len(t) // 3
+        e = t[: len(t) - k] + u[:k]
+        f, ef, nf = plain_fingerprint(t), plain_fingerprint(e), plain_fingerprint(u)
+        g = got[r[0]]
+        assert g.edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
+        assert g.fingerprint == text_of(*f) and g.edited_fingerprint == text_of(*ef)
+        assert abs(g.near_edited - like(f, ef)) < 1e-9 and abs(g.near_next - like(f, nf)) < 1e-9
+
+
+def test_likeness_of_long_repetitive_texts():
+    def near(a, b):
+        return fingerprint.likeness(fingerprint.fingerprint(a), fingerprint.fingerprint(b))
+
+    assert near("x" * 65543, "x" * 65542) > 0.999 and near("x" * 40000, "x" * 30000) > 0.999
+    assert near("x" * 300_000 + "y" * 100_000, "x" * 300_000) > 0.9
+    assert near("ab " * 50_000, "qz " * 50_000) < 0.5
+
+
+def test_quality_scores_against_dense_vectors(spark):
+    rng = random.Random(31)
+    vocab = ["word%d" % i for i in range(60)] + ["Cap%d" % i for i in range(20)] + ["LOUD!", "12%", "x", "éa", "buy|buy"]
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(3, 40))) for _ in range(70)]
+    texts += ["again again again again word1", "", None, texts[0], "word1 word1", "unseen other things"]
+    labels = [(i, i % 3 == 0) for i in range(40)] + [(5, True), (7, None), (900, True)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, score string")
+    got = {r.doc_id: r.score for r in quality.quality(docs, spark.createDataFrame([(i, None if y is None else int(y)) for i, y in labels], "doc_id long, quality int")).collect()}
+
+    def bag(t):
+        words, out = re.findall(r"[^\x20\x09-\x0D]+", t or ""), {}
+        low = [w.translate({c: c + 32 for c in range(65, 91)}) for w in words]
+        for k, w in enumerate(words):
+            up, lo = sum("A" <= c <= "Z" for c in w), sum("a" <= c <= "z" for c in w)
+            case = 0 if up + lo == 0 else 1 if up == 0 else 2 if "A" <= w[0] <= "Z" and up == 1 else 3 if lo == 0 else 4
+            last, n = w.encode()[-1:], len(w.encode())
+            kind = 10 if last.isdigit() else b".,!%&$*#|".find(last) + 1 or (0 if last.isalpha() or last[0] > 127 else 11)
+            same = [k >= j and low[k] == low[k - j] for j in (1, 2)]
+            again = 2 if all(same) else int(same[0])
+            for f in (("form", again, case, kind, sum(n > e for e in (1, 2, 4, 7, 11, 16, 25))), ("term", low[k])):
+                out[f] = out.get(f, 0) + 1
+        return out
+
+    mean = {}
+    for i, y in labels:
+        if y is not None and i < len(texts) and zlib.crc32(str(i).encode()) % 5:
+            mean.setdefault(i, []).append(float(y))
+    known = sorted(mean)
+    bags = [bag(texts[i]) for i in known]
+    names = sorted(set(itertools.chain(*bags)), key=repr)
+    idf = {f: np.log((1 + len(known)) / (1 + sum(f in b for b in bags))) + 0.1 for f in names}
+
+    def vector(b):
+        v = np.zeros(len(names))
+        for kind in ("form", "term"):
+            # features that no labelled row has count in the length and nowhere else
+            part = {f: (1 + np.log(c)) * idf.get(f, np.log(1 + len(known)) + 0.1) for f, c in b.items() if f[0] == kind}
+            size = np.sqrt(sum(x * x for x in part.values()))
+            for f, x in part.items():
+                if f in idf:
+                    v[names.index(f)] = x / size
+        return v
+
+    x = np.array([vector(b) for b in bags])
+    basis = np.linalg.svd(x, full_matrices=False)[2][: quality.RANK]
+    z = x @ basis.T
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = np.array([np.mean(mean[i]) for i in known])
+    for i, t in enumerate(texts):
+        q = vector(bag(t)) @ basis.T
+        if np.linalg.norm(q) < 1e-9:
+            assert got[i] == pytest.approx(y.mean(), abs=1e-6)
+            continue
+        like = z @ (q / np.linalg.norm(q))
+        top = np.argsort(-like, kind="stable")[: quality.NEIGHBOURS]
+        if len(like) > len(top) and np.sort(-like)[len(top)] - np.sort(-like)[len(top) - 1] < 1e-5:
+            continue  # a tie at the edge
+        w = np.maximum(like[top], 1e-6) ** 8
+        assert got[i] == pytest.approx((w * y[top]).sum() / w.sum(), abs=2e-3)
+
+
+def test_tied_votes_go_to_the_first():
+    known = np.ones((40, 4), np.float32) / 2
+    y = np.arange(40, dtype=np.float32)
+    for n in (1, 3, 128):
+        assert np.allclose(quality._votes(known[:1].repeat(n, 0), known, y), np.mean(y[: quality.NEIGHBOURS]))
+
+
+def test_grammar_against_rules_read_word_by_word():
+    rng = random.Random(77)
+    grammar = toxicity.Grammar({"idiot": 5.0, "scum$": 3.0})
+    vocab = ["idiot", "idiots", "scum", "scums", "not", "said", "you", "kill", ".", ";", '"', "table", "the", "of"]
+    for _ in range(400):
+        words = [rng.choice(vocab) for _ in range(rng.randrange(25))]
+        want, quoted, clause = [], False, []
+        for k, w in enumerate([*words, "."]):
+            if w not in (".", ";"):
+                clause.append((k, w))
+                continue
+            plain = negated = reported = hits = 0
+            heard = False
+            for n, (at, x) in enumerate(clause):
+                weight = 5.0 if x.startswith("idiot") else 3.0 if x == "scum" else 0.0
+                if weight:
+                    hits += 1
+                    # one of the three tokens before, in the clause, negates
+                    if any(y == "not" for _, y in clause[max(0, n - toxicity.SCOPE) : n]):
+                        negated += weight
+                    elif heard or quoted:
+                        reported += weight
+                    else:
+                        plain += weight
+                heard = heard or x == "said"
+                quoted = quoted != (x == '"')
+            threat = any(x == "kill" for _, x in clause) and any(x == "you" for _, x in clause)
+            if hits or threat:
+                want.append((hits, plain, negated, reported, plain if any(x == "you" for _, x in clause) else 0.0, float(threat)))
+            clause = []
+        got = [(c["hits"], c["plain"], c["negated"], c["reported"], c["aimed"], c["threat"]) for c in grammar.clauses(" ".join(words))]
+        assert got == want, words
+
+
+def test_toxicity_of_ties_clashing_columns_and_null_labels(spark):
+    texts = ["you idiot %d" % i for i in range(30)] + ["nice day %d" % i for i in range(30)] + ["", None, "you idiot 1"]
+    docs = spark.createDataFrame([(i, t, "x", 1.0, 7) for i, t in enumerate(texts)] + [(None, "you idiot 1", "x", 1.0, 7)], "doc_id long, text string, lang string, score double, toxic int")
+    labels = spark.createDataFrame([(i, int(i < 30), "y") for i in range(60)] + [(61, None, "y"), (None, 1, "y"), (3, 1, "y")], "doc_id long, toxic int, text string")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == len(texts) + 1
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    assert by[1][0].score == by[62][0].score == by[None][0].score and by[60][0].score == by[61][0].score
+    assert all(by[i][0].predicted == int(i < 30) for i in range(60)) and not by[None][0].held_out
+    again = {r.doc_id: r.score for r in toxicity.toxicity(docs.repartition(5), labels.repartition(3)).collect()}
+    assert all(abs(again[i] - by[i][0].score) < 1e-9 for i in range(60))
+
+
+def test_rows_that_share_a_doc_id_follow_one_another_by_hash(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    pairs = [(None, "text %d of none" % rng.randrange(60)) for _ in range(90)] + [(7, "seven %d" % i) for i in range(40)] + [(i, "own %d" % i) for i in range(20, 35)]
+    docs = spark.createDataFrame(pairs, "doc_id long, text string").repartition(5)
+    hashed = docs.withColumn("h", F.xxhash64("text")).collect()
+    ordered = sorted(hashed, key=lambda r: (-(r.doc_id if r.doc_id is not None else -(1 << 63)), r.h, r.text))
+    want = sorted(((r.doc_id, hashlib.sha256(fingerprint.edited(r.text, n.text).encode()).hexdigest()) for r, n in zip(ordered, ordered[1:] + ordered[:1])), key=repr)
+    got = fingerprint.fingerprints(docs)
+    assert sorted(((r.doc_id, r.edited_sha256) for r in got.collect()), key=repr) == want
+    only = docs.filter("doc_id IS NULL")
+    assert fingerprint.fingerprints(only).count() == 90
