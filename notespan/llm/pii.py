@@ -144,6 +144,9 @@ def _entities(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[int],
     return sorted(values), np.unique(terms(raw, np.array([0, len(raw)]))[0]).tolist()
 
 
+_EVERY = "array<struct<start:int,kind:int,end:int,share:double>>"
+
+
 def found(docs: DataFrame) -> DataFrame:
     """Base spans of every row, the entities in them and the terms beside them."""
 
@@ -244,19 +247,23 @@ def disclosing(docs: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]
     return None if shares.isEmpty() else (shares, stored(occurrences(docs, shares), "occurrences"))
 
 
+def _added(base: DataFrame, shares: DataFrame, seen: DataFrame, how: str) -> DataFrame:
+    """Rows of ``base`` joined with ``free``, the occurrences of disclosing terms that touch no base span."""
+    added = seen.join(shares, "term").groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end", "share")).alias("added"))
+    both = base.join(added.withColumnRenamed("doc_id", "d2").withColumnRenamed("h", "h2"), F.col("h").eqNullSafe(F.col("h2")) & F.col("doc_id").eqNullSafe(F.col("d2")), how)
+    free = F.filter(F.coalesce("added", F.array().cast(_EVERY)), lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    return both.withColumn("free", free.cast(_EVERY))
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """Every row's counts, base digest and all spans (start, kind, end, share), in order."""
     base = stored(found(small_batches(docs)), "found")
     more = disclosing(docs, base)
-    every = "array<struct<start:int,kind:int,end:int,share:double>>"
-    own = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(1.0).alias("share"))).cast(every)
+    own = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(1.0).alias("share"))).cast(_EVERY)
     if more is None:
         return base.select("doc_id", "h", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", own.alias("all"))
-    shares, seen = more
-    added = seen.join(shares, "term").groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end", "share")).alias("added"))
-    both = base.join(added.withColumnRenamed("doc_id", "d2").withColumnRenamed("h", "h2"), F.col("h").eqNullSafe(F.col("h2")) & F.col("doc_id").eqNullSafe(F.col("d2")), "left")
-    free = F.filter(F.coalesce("added", F.array().cast(every)), lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return both.select("doc_id", "h", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.array_sort(F.concat(own, free.cast(every))).alias("all"))
+    both = _added(base, *more, "left")
+    return both.select("doc_id", "h", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.array_sort(F.concat(own, "free")).alias("all"))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -270,6 +277,10 @@ def shape(word: str) -> str:
     return "[NUMBER]" if word.isdigit() else "[CODE]" if any(c.isdigit() for c in word) else "[NAME]" if word[:1].isupper() else "[TERM]"
 
 
+def _base(text: str) -> list[tuple[int, int, int, float]]:
+    return [(a, k, b, 1.0) for a, k, b in base_spans(text)]
+
+
 def cleaned(text: str, all_spans: list[tuple[int, int, int, float]]) -> str:
     """Base spans become their kind; terms are removed or generalised by their share. Of spans that overlap the first counts."""
     out, at = [], 0
@@ -285,19 +296,37 @@ def cleaned(text: str, all_spans: list[tuple[int, int, int, float]]) -> str:
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with sanitised texts; rows without spans, and all other columns, stay as they are.
 
-    Only rows that a Bloom filter of those with spans lets through are shuffled, at any size.
+    Base spans are found again where a text is read, so that text is not shuffled. Only rows that a Bloom filter of
+    those with disclosing terms lets through are, at any size.
     """
-    touched = spans(docs).filter(F.size("all") > 0).groupBy("doc_id", "h").agg(F.first("all").alias("all"))
-    touched = stored(touched.select(F.col("doc_id").alias("d"), F.col("h").alias("h2"), F.col("all").alias("marks"), F.xxhash64("doc_id", "h").alias("mark")), "touched")
-    hit = Bloom.of(touched, "mark").test(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.col("text").alias("t"), F.struct(*docs.columns).alias("whole"))
+    base = stored(found(small_batches(docs)), "found")
+    more = disclosing(docs, base)
+    spark, bloom = docs.sparkSession, None
+    if more is not None:
+        touched = _added(base, *more, "inner").filter(F.size("free") > 0).groupBy("doc_id", "h").agg(F.first("free").alias("free"))
+        touched = stored(touched.select(F.col("doc_id").alias("d"), F.col("h").alias("h2"), F.col("free").alias("marks"), F.xxhash64("doc_id", "h").alias("mark")), "touched")
+        bloom = Bloom.of(touched, "mark")
+    shared = spark.sparkContext.broadcast(bloom)
+
+    @F.arrow_udf("struct<later:boolean,text:string>")
+    def plain(text: pa.Array, own: pa.Array) -> pa.Array:
+        late = np.zeros(len(text), bool) if shared.value is None else shared.value.has(own.to_numpy(zero_copy_only=False))
+        done = [None if w else t and cleaned(t, _base(t)) for t, w in zip(text.to_pylist(), late)]
+        return pa.StructArray.from_arrays([pa.array(late), pa.array(done, pa.string())], ["later", "text"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.struct(*docs.columns).alias("whole"))
     rows = rows.withColumn("own", F.xxhash64("k", "h"))
-    some = rows.filter(hit(F.col("own"))).join(touched.drop("mark"), (F.col("h") == F.col("h2")) & F.col("k").eqNullSafe(F.col("d")), "left")
+    # Else the optimizer runs it twice, once for the filter.
+    once = rows.select("whole", plain.asNondeterministic()("whole.text", "own").alias("p")).filter("not p.later")
+    once = once.select(F.col("whole").withField("text", F.col("p.text")).alias("whole")).select("whole.*")
+    if bloom is None:
+        return once
+    some = rows.filter(bloom.test(spark)(F.col("own"))).join(touched.drop("mark"), (F.col("h") == F.col("h2")) & F.col("k").eqNullSafe(F.col("d")), "left")
 
     @F.arrow_udf("string")
     def clean(text: pa.Array, marks: pa.Array) -> pa.Array:
         pairs = zip(text.to_pylist(), marks.to_pylist())
-        return pa.array([t if m is None else cleaned(t or "", [(s["start"], s["kind"], s["end"], s["share"]) for s in m]) for t, m in pairs], pa.string())
+        return pa.array([t and cleaned(t, [*_base(t), *((s["start"], s["kind"], s["end"], s["share"]) for s in m or [])]) for t, m in pairs], pa.string())
 
-    done = some.select(F.col("whole").withField("text", clean("t", "marks")).alias("whole"))
-    return rows.filter(~hit(F.col("own"))).select("whole").unionByName(done).select("whole.*")
+    done = some.select(F.col("whole").withField("text", clean("whole.text", "marks")).alias("whole"))
+    return once.unionByName(done.select("whole.*"))

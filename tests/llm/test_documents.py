@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -617,3 +618,40 @@ def test_rows_that_share_a_doc_id_follow_one_another_by_hash(spark):
     assert sorted(((r.doc_id, r.edited_sha256) for r in got.collect()), key=repr) == want
     only = docs.filter("doc_id IS NULL")
     assert fingerprint.fingerprints(only).count() == 90
+
+
+def shuffled(spark, run):
+    """Bytes that ``run`` shuffles."""
+
+    def now():
+        time.sleep(0.5)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    before = now()
+    run()
+    return now() - before
+
+
+def test_sanitise_shuffles_no_text_for_its_base_spans(spark):
+    rng = random.Random(11)
+    rows = [(i, "mail a%d@x.org of %s" % (i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz" * 8 + " ", k=4000)))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    out, key = [], "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, -1)
+    try:
+        assert shuffled(spark, lambda: out.extend(pii.sanitise(docs).collect())) < sum(len(t) for _, t in rows) / 4
+    finally:
+        spark.conf.unset(key)
+    assert sorted(out) == [(i, t.replace("a%d@x.org" % i, "[EMAIL]")) for i, t in rows]
+
+
+def test_sanitise_with_terms_keeps_every_row(spark):
+    rows = [(i % 2 or None, f"zorblax {i} mail z@q.org and y{i}@q.org") for i in range(5)] * 2
+    rows += [(10 + i, f"plain text {i} x{i}@q.org") for i in range(60)] + [(80, "zorblax again"), (81, None), (82, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in pii.sanitise(docs).collect()), key=repr)
+    assert sorted((d for d, _ in got), key=repr) == sorted((d for d, _ in rows), key=repr)
+    assert not any(t and ("zorblax" in t or "@" in t) for _, t in got)
+    assert {t for d, t in got if d in (81, 82)} == {None, ""} and sum(t == "plain text 7 [EMAIL]" for _, t in got) == 1
