@@ -198,33 +198,51 @@ def occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def frequencies(docs: DataFrame, base: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(term, df) of the wanted terms: different texts that hold each."""
-    again = stored(base.groupBy("h").count().filter("count > 1").select("h"), "copies")
+    """(term, df) of the wanted terms: different texts that hold each.
+
+    Of the rows of a text with copies the one of least mark (hash of doc_id and text) counts. Two Bloom filters tell it:
+    no row that ``firsts`` refuses is one, and all that it passes are, but for the rows found in ``unclear``. Only those,
+    false positives and repeated rows, are counted by text; all others are added up where they are read.
+    """
     spark = docs.sparkSession
-    bloom, copies = spark.sparkContext.broadcast(Bloom.of(wanted, "term")), spark.sparkContext.broadcast(Bloom.of(again, "h"))
+    again = Bloom.of(stored(base.groupBy("h").count().filter("count > 1").select("h"), "copies"), "h")
+    marked = base.select("h", F.xxhash64("doc_id", "h").alias("mark")).filter(again.test(spark)(F.col("h")))
+    texts = stored(marked.groupBy("h").agg(F.min("mark").alias("mark")), "texts")
+    firsts = Bloom.of(texts, "mark")
+    maybe = marked.filter(firsts.test(spark)(F.col("mark"))).groupBy("h", "mark").agg(F.count("*").alias("n"))
+    unclear = maybe.join(texts.withColumnRenamed("mark", "first"), "h").filter("mark != first or n > 1")
+    unclear = Bloom.of(stored(unclear.select("mark"), "unclear"), "mark")
+    shared = spark.sparkContext.broadcast((Bloom.of(wanted, "term"), again, firsts, unclear))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom, again, firsts, unclear = shared.value
         for b in batches:
-            raw, ends = text_bytes(b.column(1))
-            h = b.column(0).to_numpy()
-            maybe = copies.value.has(h)
+            raw, ends = text_bytes(b.column(2))
+            h, mark = b.column(0).to_numpy(), b.column(1).to_numpy()
+            copied, first = again.has(h), firsts.has(mark)
+            ask = copied & first & unclear.has(mark)
             for lo, hi in chunks_by_bytes(ends, CHUNK):
                 t, _, _, row = terms(raw[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo])
-                hit = bloom.value.has(t)
-                t, row = t[hit], row[hit] + lo
+                row = row + lo
+                hit = (first | ~copied)[row]
+                t, row = t[hit], row[hit]
+                hit = bloom.has(t)
+                t, row = t[hit], row[hit]
                 order = np.lexsort((t, row))
                 t, row = t[order], row[order]
                 new = np.ones(len(t), bool)
                 new[1:] = (t[1:] != t[:-1]) | (row[1:] != row[:-1])
                 t, row = t[new], row[new]
-                # A text that may have copies goes by its hash, the others are counted here.
-                own = maybe[row]
+                own = ask[row]
                 one, n = np.unique(t[~own], return_counts=True)
-                texts = pa.concat_arrays([pa.nulls(len(one), pa.int64()), pa.array(h[row[own]])])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([one, t[own]])), texts, pa.array(np.concatenate([n, np.ones(int(own.sum()), np.int64)]))], names=["term", "h", "n"])
-
-    seen = _keyed(docs).select("h", "text").mapInArrow(tidy(run), "term long, h long, n long").groupBy("term", "h").agg(F.sum("n").alias("n"))
-    df = seen.groupBy("term").agg(F.sum(F.when(F.col("h").isNull(), F.col("n")).otherwise(1)).alias("df"))
+                none = pa.nulls(len(one), pa.int64())
+                keys = [pa.concat_arrays([none, pa.array(x[row[own]])]) for x in (h, mark)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([one, t[own]])), *keys, pa.array(np.concatenate([n, np.ones(int(own.sum()), np.int64)]))], names=["term", "h", "mark", "n"])
+
+    rows = _keyed(docs).select("h", F.xxhash64("doc_id", "h").alias("mark"), "text")
+    seen = stored(rows.mapInArrow(tidy(run), "term long, h long, mark long, n long").groupBy("term", "h", "mark").agg(F.sum("n").alias("n")), "seen")
+    asked = seen.filter("h is not null").join(texts, ["h", "mark"], "left_semi").select("term", F.lit(1).cast("long").alias("n"))
+    df = seen.filter("h is null").select("term", "n").unionByName(asked).groupBy("term").agg(F.sum("n").alias("df"))
     return df.join(wanted.select("term").distinct(), "term", "left_semi")
 
 

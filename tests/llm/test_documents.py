@@ -655,3 +655,20 @@ def test_sanitise_with_terms_keeps_every_row(spark):
     assert sorted((d for d, _ in got), key=repr) == sorted((d for d, _ in rows), key=repr)
     assert not any(t and ("zorblax" in t or "@" in t) for _, t in got)
     assert {t for d, t in got if d in (81, 82)} == {None, ""} and sum(t == "plain text 7 [EMAIL]" for _, t in got) == 1
+
+
+def test_frequencies_shuffle_no_row_a_term_of_a_copied_text(spark):
+    rng = random.Random(12)
+    words = ["w%d" % i for i in range(300)]
+    rows = [(i, " ".join(rng.sample(words, 100))) for i in range(600)]
+    wanted = spark.createDataFrame([(pii.term_hash(w),) for w in words], "term long").localCheckpoint()
+    want = {pii.term_hash(w): sum(w in t.split() for _, t in rows) for w in words}
+    sizes = []
+    # Copies of other ids, of the same id and without one.
+    for more in ([], [(1000 + i, t) for i, t in rows], [*rows[:5], *((None, t) for _, t in rows[3:9]), (None, rows[4][1])]):
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string").repartition(4).localCheckpoint()
+        base = pii.found(docs).localCheckpoint()
+        got = []
+        sizes.append(shuffled(spark, lambda: got.extend(pii.frequencies(docs, base, wanted).collect())))
+        assert {r.term: r.df for r in got} == want
+    assert sizes[1] < 2 * sizes[0] + 100_000
