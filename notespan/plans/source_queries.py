@@ -159,7 +159,7 @@ def trigger_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC21: vectors as lines, ids in order of the words."""
     e = read(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL")
-    numbers = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("string"))
+    numbers = F.transform("embedding", lambda x: F.floor(x * F.lit(1000).cast("float")).cast("string"))  # single precision, as in SQL
     line = F.concat_ws(" ", F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 9, "0")), F.array_join(numbers, " "))
     v = readers.read_vectors(spark, written(e.select(line.alias("line"))))
     total = F.aggregate("vec", F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
