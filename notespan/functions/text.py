@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +47,14 @@ def trigger_word(token: Column) -> Column:
     return F.regexp_replace(F.lower(token), r"[^\p{L}\p{N}_/\-]+", "")
 
 
+_NO_TRIGGER = regex.compile(r"[^\p{L}\p{N}_/\-]+")
+
+
+def cleaned_trigger(word: str) -> str:
+    """``trigger_word`` of a string, for loops over distinct words."""
+    return _NO_TRIGGER.sub("", word.lower())
+
+
 def standard_acronym(token: Column) -> Column:
     """ACR3: & and + are written /."""
     return F.translate(token, "&+", "//")

@@ -19,3 +19,51 @@ def table(spark, folder, name, rows, schema):
 def test_word_vectors_are_cut_in_single_precision(spark, tmp_path):
     folder = table(spark, tmp_path, "embeddings", [(0, [0.009, 0.5])], "vec_id long, embedding array<float>")
     assert catalog.QUERIES["word_vectors"](spark, folder).first().total == 509  # 0.009 is less in double precision
+
+
+def test_loops_over_texts_give_few_rows_at_a_time():
+    schema = pa.schema([("n", pa.int64())])
+    assert [b.num_rows for b in tokens.gathered(((k,) for k in range(10)), schema, 4)] == [4, 4, 2]
+    seen = []
+    first = next(tokens.gathered(((seen.append(k) or k,) for k in itertools.count()), schema))
+    assert first.num_rows == tokens._ROWS == len(seen)  # nothing is read ahead
+    b = pa.record_batch({"doc_id": pa.array(range(3)), "text": pa.array(["a" * tokens._BATCH, None, "b"])})
+    assert [(ids.to_pylist(), len(raw)) for ids, raw, _ in tokens._parts(b)] == [([0, 1], tokens._BATCH), ([2], 1)]
+
+
+def test_sentences_of_many_tokens(spark):
+    texts = [(k, f"w{k} " * (k * 997) + "\n" + "x " * k) for k in range(40)] + [(99, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    got = {(r.doc_id, r.sent_id): [tuple(t) for t in r.tokens] for r in tokens.sentences(docs, tokens.line_sentences, tokens.edge_words).collect()}
+    want = {(i, n): [(a + x, a + y, t[a:z][x:y]) for x, y in tokens.edge_words(t[a:z])] for i, t in texts for n, (a, z) in enumerate(tokens.line_sentences(t or ""))}
+    assert got == want
+    rows = {(r.doc_id, r.tok_id): (r.start, r.end, r.text) for r in tokens.tokens(docs, tokens.edge_words).collect()}
+    assert rows == {(i, n): (a, z, t[a:z]) for i, t in texts for n, (a, z) in enumerate(tokens.edge_words(t or ""))}
+
+
+def test_queries_of_one_pass_shuffle_nothing(spark, tmp_path):
+    folder = table(spark, tmp_path, "documents", [(1, "Ab it's. [**x y**] zz"), (2, None)], "doc_id long, text string")
+    for name in ("model_tokens", "spaces_after"):
+        plan = catalog.QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan and "Join" not in plan, name
+    docs = spark.createDataFrame([(1, "a\x0bb c\x1fd  e\n"), (2, None), (3, "f")], "doc_id long, text string")
+    for words in (tokens.plain_words, tokens.unicode_words, tokens.edge_words):
+        want = tokens.tokens(docs, words).withColumnRenamed("text", "w").join(docs, "doc_id").select("doc_id", "tok_id", T.space_after(F.col("text"), F.col("end")))
+        assert sorted(map(tuple, tokens.spaces(docs, words).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_runs_are_counted_where_they_are_read(spark):
+    docs = spark.createDataFrame([(1, "The cat, the cat. É é\n- a\n"), (2, None), (3, "the CAT " * 50), (4, "one")], "doc_id long, text string")
+    for n in (1, 2, 3):
+        want = tokens.ngrams(tokens.sentences(docs), n, T.trigger_word).filter(F.col("n") == n).groupBy("gram").agg(F.count("*").alias("n"))
+        got = tokens.run_counts(docs, n, T.cleaned_trigger)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_concepts_by_line_and_token_need_no_rows_of_words(spark):
+    texts = spark.createDataFrame([(1, "one\n\ttwo  three\n"), (2, None), (3, "a|b c")], "doc_id long, text string")
+    mark = lambda at: f'c="x y" {at}||t="p"||a="q"'
+    notes = spark.createDataFrame([(1, "\n".join(map(mark, ("2:0 2:1", "1:0 2:0", "2:2 2:2", "9:0 9:0", "0:0 1:0")))), (3, mark("1:0 1:1")), (2, mark("1:0 1:0"))], "doc_id long, text string")
+    found = readers.read_i2b2(texts, notes)
+    assert sorted((r.doc_id, r.start, r.end) for r in found.collect()) == [(1, 0, 8), (1, 5, 15), (3, 0, 5)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
