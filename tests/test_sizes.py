@@ -109,3 +109,16 @@ def test_cues_and_triggers_in_one_long_line(spark):
                 if w == "pain" and best:
                     want.add((r.doc_id, r.sent_id, a, z, *best))
         assert {tuple(x) for x in negation.modifications(s, terms, cues, scan).collect()} == want
+
+
+def test_tagging_by_tables_is_tagging_by_the_model(spark):
+    from notespan.operators import tagging
+
+    rng, names = random.Random(4), [f"{a}{b}{c}" for a in ("w", "Xy", "z") for b in "aeiou" for c in ("ing", "ed", "s", "")]
+    seen = [(k % 7, k // 20, k % 20, 0, 0, rng.choice(names[:40]), rng.choice(("NN", "VB", "JJ"))) for k in range(600)]
+    tables = tagging.train(spark.createDataFrame(seen, "doc_id long, sent_id int, tok_id int, start int, end int, text string, tag string"))
+    docs = spark.createDataFrame([(k, " ".join(rng.choice([*names, "Qing", "--"]) for _ in range(30)) + (". \nx" if k % 2 else "")) for k in range(12)] + [(50, None)], "doc_id long, text string")
+    s = tokens.sentences(docs.repartition(3))
+    want = sorted(map(tuple, tagging.tag(s, tagging.Model.load(tables)).collect()))
+    for frequent, share in ((0, 200), (5, 1 << 20), (1000, 1)):
+        assert sorted(map(tuple, tagging.tag_by_tables(s, tables, share=share, frequent=frequent).collect())) == want
