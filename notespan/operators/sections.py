@@ -90,3 +90,24 @@ def attachment(gold: DataFrame, pred: DataFrame) -> DataFrame:
     p = pred.select(*k, F.col("head_start").alias("ps"), F.col("head_end").alias("pe"), F.col("deprel").alias("pr"))
     head = F.col("head_start").eqNullSafe(F.col("ps")) & F.col("head_end").eqNullSafe(F.col("pe")) & F.col("pr").isNotNull()
     return gold.join(p, k, "left").agg(F.avg(head.cast("double")).alias("uas"), F.avg((head & (F.col("deprel") == F.col("pr"))).cast("double")).alias("las"))
+
+
+def attachment_in(sents: DataFrame, gold: Column, pred: Column) -> DataFrame:
+    """MET3 for sentences whose row holds both annotations, arrays of (start, end, head_start, head_end, deprel): ``attachment`` without a shuffle.
+
+    The words of a sentence have different places.
+    """
+    place = lambda g, p: (g["start"] == p["start"]) & (g["end"] == p["end"])
+    head = lambda g, p: g["head_start"].eqNullSafe(p["head_start"]) & g["head_end"].eqNullSafe(p["head_end"]) & p["deprel"].isNotNull()
+    rows = sents.select(gold.alias("_gold"), pred.alias("_pred"))
+    rows = rows.withColumn("_same", (F.size("_gold") == F.size("_pred")) & F.forall(F.zip_with("_gold", "_pred", place), lambda x: F.coalesce(x, F.lit(False))))
+    # Lists of the same places in the same order go word by word, others by lookup.
+    other = F.transform("_gold", lambda g: F.struct(g.alias("g"), F.get(F.filter("_pred", lambda p: place(g, p)), F.lit(0)).alias("p")))
+    pairs = F.when(F.col("_same"), F.zip_with("_gold", "_pred", lambda g, p: F.struct(g.alias("g"), p.alias("p")))).otherwise(other)
+    met = rows.select(F.transform(pairs, lambda x: F.struct(head(x["g"], x["p"]).alias("h"), (x["g"]["deprel"] == x["p"]["deprel"]).alias("r"))).alias("m"))
+    n = lambda f: F.coalesce(F.sum(F.size(F.filter("m", f))), F.lit(0))
+    total = F.nullif(F.coalesce(F.sum(F.size("m")), F.lit(0)), F.lit(0))
+    # A gold label that is null is neither right nor wrong where the head is right, as in an average.
+    las = n(lambda x: x["h"] & F.coalesce(x["r"], F.lit(False)))
+    known = F.nullif(n(lambda x: ~x["h"] | x["r"].isNotNull()), F.lit(0))
+    return met.agg((n(lambda x: x["h"]) / total).alias("uas"), (las / known).alias("las"))

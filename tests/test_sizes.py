@@ -122,3 +122,45 @@ def test_tagging_by_tables_is_tagging_by_the_model(spark):
     want = sorted(map(tuple, tagging.tag(s, tagging.Model.load(tables)).collect()))
     for frequent, share in ((0, 200), (5, 1 << 20), (1000, 1)):
         assert sorted(map(tuple, tagging.tag_by_tables(s, tables, share=share, frequent=frequent).collect())) == want
+
+
+def test_windows_that_no_key_begins_with_are_not_made(spark):
+    from notespan.operators import concepts
+
+    schema = "key string, sui string, cui string, tui string, source int, code string"
+    make = lambda *keys: spark.createDataFrame([(k, "S", f"C{i}", "T", 0, "x") for i, k in enumerate(keys)], schema)
+    d = {"phrase": make("Chest pain", "low BP", "heart"), "lower": make("chest pain", "low bp", "blood pressure x"), "norm": make("pain severe", "back low")}
+    token = "struct<tok_id:int,start:int,end:int,text:string,tag:string,norm:string,expansion:string>"
+    rng, rows = random.Random(6), []
+    for k in range(60):
+        at, toks = 0, []
+        for i in range(12):
+            w = rng.choice(["Chest", "pain", "low", "BP", "the", "Heart", "heart", "severe", "back", "x", ","])
+            toks.append((i, at, at + len(w), w, rng.choice(["NN", "CD", "DT"]), w.lower(), "blood pressure" if w == "BP" else None))
+            at += len(w) + rng.choice((0, 1, 2))
+        rows.append((k, 0, toks))
+    s = spark.createDataFrame(rows, f"doc_id long, sent_id int, tokens array<{token}>")
+    first = concepts._may_begin(d)
+    every, some = concepts.window_keys(s, 3), concepts.window_keys(s, 3, first)
+    assert 0 < some.count() < every.count()
+    keys = d["phrase"].select(F.lit("phrase").alias("kind"), "key").union(d["lower"].select(F.lit("lower"), "key")).union(d["norm"].select(F.lit("norm"), "key"))
+    hits = lambda w: sorted(map(tuple, w.join(keys, ["kind", "key"]).collect()))
+    assert hits(some) == hits(every) != []
+
+
+def test_attachment_within_rows_and_candidates_by_open_tags(spark):
+    from notespan.operators import acronyms, sections
+
+    word = "array<struct<start:int,end:int,head_start:int,head_end:int,deprel:string>>"
+    rng = random.Random(9)
+    make = lambda n: [(2 * k, 2 * k + 1, rng.choice((None, 0)), rng.choice((None, 1)), rng.choice(("a", "b", None))) for k in range(n)]
+    rows = [(k, make(6), rng.sample(make(6), rng.choice((4, 6)))) for k in range(30)] + [(90, [], make(1)), (91, make(5), make(5))]
+    s = spark.createDataFrame(rows, f"doc_id long, g {word}, p {word}")
+    flat = lambda c: s.select("doc_id", F.explode(c).alias("x")).select("doc_id", "x.*")
+    assert tuple(sections.attachment_in(s, F.col("g"), F.col("p")).first()) == tuple(sections.attachment(flat("g"), flat("p")).first())
+    spans = [(1, a, a + rng.randrange(1, 9)) for a in range(60)]
+    toks = spark.createDataFrame([(*x, "w") for x in spans], "doc_id long, start int, end int, text string")
+    tags = [(*rng.choice(spans), rng.choice(("NN", "DT", "IN"))) for _ in range(25)]
+    want = sorted((d, a, z) for d, a, z in spans if any(a <= s and e <= z and t == "NN" for _, s, e, t in tags))
+    got = acronyms.candidates(toks, spark.createDataFrame(tags, "doc_id long, start int, end int, tag string"), 8)
+    assert sorted((r.doc_id, r.start, r.end) for r in got.collect()) == want
