@@ -164,3 +164,14 @@ def test_attachment_within_rows_and_candidates_by_open_tags(spark):
     want = sorted((d, a, z) for d, a, z in spans if any(a <= s and e <= z and t == "NN" for _, s, e, t in tags))
     got = acronyms.candidates(toks, spark.createDataFrame(tags, "doc_id long, start int, end int, tag string"), 8)
     assert sorted((r.doc_id, r.start, r.end) for r in got.collect()) == want
+
+
+def test_vocabulary_is_counted_where_texts_are_read(spark):
+    from notespan.operators import acronyms
+
+    texts = [(1, "The the 1 12 3.5 1,2 a.b x-y"), (2, "the é\n\nA&b 7"), (3, None), (4, "--"), (5, " 99 THE")]
+    for rows in (texts, [*texts, (1, "the new"), (2, "other 12")]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        want = acronyms.vocabulary(tokens.tokens(docs)).select("word", "word_id", "df", "idf")
+        got = acronyms.document_vocabulary(docs).select("word", "word_id", "df", "idf")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
