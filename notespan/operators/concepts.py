@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,11 +34,34 @@ def _fit(t: Column) -> Column:
     return ~(is_stopword(t["norm"]) | is_punct_text(t["text"]) | is_trivial(t["tag"]))
 
 
-def _ends(size: int) -> tuple[Column, Column]:
+#: Beginnings of dictionary keys are tested before windows are made if there are at most so many.
+FEW = 20_000
+
+
+def _may_begin(tables: dict[str, DataFrame]):
+    """Whether a key of the dictionary can begin with a token, as a function of it; None if the keys are too many to tell beforehand.
+
+    A phrase begins with its first token's text or expansion, whatever the gap behind
+    it; a bag holds the norm of its first token, as that is no stopword. What can't be
+    told from the token alone passes.
+    """
+    phrases = tables["phrase"].select(F.lower("key").alias("k")).union(tables["lower"].select(F.lower("key").alias("k"))).filter("k IS NOT NULL").distinct()
+    bags = tables["norm"].select(F.explode(F.split("key", " ")).alias("k")).distinct()
+    some, norms = [r.k for r in phrases.limit(FEW + 1).collect()], [r.k for r in bags.limit(FEW + 1).collect()]
+    heads = {x[:n] for x in some for n in range(len(x) + 1)} if len(some) <= FEW else set()
+    if max(len(some), len(norms), len(heads)) > FEW or any(c in x for x in some for c in "σς"):  # small sigma changes with what follows
+        return None
+    within = lambda c: F.lower(c).isin(*sorted(heads))
+    bag = lambda n: n.isin(*sorted(set(norms))) | n.contains(" ") | (F.ltrim(n, F.lit(string.punctuation)) == "")
+    none = F.lit(False)
+    return lambda t: F.coalesce(within(t["text"]), none) | F.coalesce(within(t["expansion"]), none) | F.coalesce(bag(t["norm"]), none)
+
+
+def _ends(size: int, first: Callable[[Column], Column] | None = None) -> tuple[Column, Column]:
     """Places (from 1) where windows begin, and a function's column of those where one that begins at i ends."""
     n = F.size("tokens")
     at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    begin = F.filter(at, lambda i: F.element_at("fit", i))
+    begin = F.filter(at, lambda i: F.element_at("fit", i) if first is None else F.element_at("heads", i))
     return begin, lambda i: F.filter(F.sequence(i, F.least(i + size - 1, n)), lambda j: F.element_at("fit", j))
 
 
@@ -53,25 +78,32 @@ def bag_key(norms: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(norms, lambda x: ~x.isin(*STOPWORDS) & ~is_punct_text(x))), " ")
 
 
-def window_keys(sents: DataFrame, size: int = WINDOW) -> DataFrame:
+def window_keys(sents: DataFrame, size: int = WINDOW, first: Callable[[Column], Column] | None = None) -> DataFrame:
     """doc_id, sent_id, start, end, n, tier, kind, key: all that is looked up for a window, made in one pass.
 
     Tier 0 is the words with the gaps between them (a blank for any gap), tier 1 the
     same with acronyms expanded, each as it is and in lower case; tier 2 the norm bag.
     Words are joined to their gaps once a sentence, and windows are slices of strings.
+    Windows whose first token fails ``first`` aren't made, nor anything for sentences
+    in which all do.
     """
+    heads = F.array().cast("array<boolean>")
+    if first is not None:
+        heads = F.col("heads")
+        sents = sents.withColumn("heads", F.transform("tokens", lambda t: first(t) & _fit(t))).filter(F.array_contains("heads", True))
     gap = lambda t, i: F.when(i == 0, "").otherwise(F.repeat(F.lit(" "), F.least(F.lit(1), F.greatest(F.lit(0), t["start"] - F.get("tokens", i - 1)["end"]))))
     full = lambda t: F.coalesce(t["expansion"], t["text"])
     one = sents.select(
         "doc_id",
         "sent_id",
         "tokens",
+        heads.alias("heads"),
         F.transform("tokens", _fit).alias("fit"),
         F.transform("tokens", lambda t, i: F.concat(gap(t, i), t["text"])).alias("words"),
         F.when(F.exists("tokens", lambda t: t["expansion"].isNotNull()), F.transform("tokens", lambda t, i: F.concat(gap(t, i), full(t)))).alias("longer"),
         F.transform("tokens", lambda t: F.when(~t["norm"].isin(*STOPWORDS) & ~is_punct_text(t["norm"]), t["norm"])).alias("norms"),
     )
-    begin, last = _ends(size)
+    begin, last = _ends(size, first)
     word = lambda i: F.element_at("tokens", i)
 
     def run(i: Column, j: Column) -> Column:
@@ -104,7 +136,7 @@ def detect_concepts(sents: DataFrame, dictionary: dict[str, DataFrame], sources:
     concept, and keeps later tiers out (Q4). All kinds are looked up by one join.
     """
     tables = [dictionary[k].select(F.lit(k).alias("kind"), "key", *CONCEPT, F.lit(s).alias("score")) for k, s in SCORES.items()]
-    hits = window_keys(sents, size).join(sized(reduce(DataFrame.unionByName, tables)), ["kind", "key"])
+    hits = window_keys(sents, size, _may_begin(dictionary)).join(sized(reduce(DataFrame.unionByName, tables)), ["kind", "key"])
     hits = hits.select("doc_id", "sent_id", "start", "end", "n", "tier", *CONCEPT, "score", ((F.col("kind") != "lower") | (F.col("n") > 1)).alias("shown"))
     w = Window.partitionBy("doc_id", "start", "end")
     hits = hits.withColumn("best", F.min("tier").over(w)).filter("tier = best")
@@ -132,7 +164,7 @@ def type_groups(concepts: DataFrame, groups: DataFrame) -> DataFrame:
 
 def medication_sentences(sents: DataFrame, concepts: DataFrame, tui: str = "T121") -> DataFrame:
     """CON11: sentences with a concept of the type, and the list of such concepts."""
-    pair = inside(sents.select("doc_id", "start", "end"), concepts.filter(F.col("tui") == tui))
+    pair = inside(sents.select("doc_id", "start", "end"), concepts.filter(F.col("tui") == tui), 1024)
     c = F.array_sort(F.collect_list(F.struct(F.col("r_start").alias("start"), F.col("r_end").alias("end"), F.col("r_cui").alias("cui"))))
     return pair.groupBy("doc_id", "start", "end").agg(c.alias("concepts"))
 
